@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .mixing import op4_mixing
 from .pii import op8_pii
+from .records import op5_token_records
 from .secrets import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_mixing": op4_mixing,
+    "op5_token_records": op5_token_records,
     "op8_pii": op8_pii,
 }
 
