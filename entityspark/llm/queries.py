@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op6_jaccard_join
 from .mixing import op4_mixing
 from .pii import op8_pii
 from .records import op5_token_records
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_mixing": op4_mixing,
     "op5_token_records": op5_token_records,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_pii": op8_pii,
 }
 
