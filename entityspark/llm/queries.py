@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontamination
 from .jaccard import op6_jaccard_join
 from .mixing import op4_mixing
 from .pii import op8_pii
 from .records import op5_token_records
 from .secrets import op1_secret_scan
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_decontamination": op2_decontamination,
     "op4_mixing": op4_mixing,
     "op5_token_records": op5_token_records,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
 }
 
