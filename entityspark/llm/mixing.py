@@ -19,7 +19,7 @@ from .common import global_rank, materialize, partitions, table
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3.0
 #: Documents in a bucket on average over the corpus, and buckets whose residuals meet in one of the next level.
-BUCKET, FAN_IN = 8192, 64
+BUCKET, FAN_IN = 1024, 64
 #: Source tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 _M64 = (1 << 64) - 1
