@@ -1,6 +1,8 @@
-"""All registered queries of the engine, gathered from the modules that define them."""
+"""All registered queries of the engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import entities, live, measures, space, versions  # noqa: F401
+from .queries.register import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
