@@ -245,11 +245,11 @@ def op9_neighbours(spark, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH good AS (
   SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])), (a, b) -> a + b) AS score
+         list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), lambda a, b: a + b) AS score
   FROM good q JOIN good c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
