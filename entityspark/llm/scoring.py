@@ -167,20 +167,30 @@ class Network:
         return out
 
 
+class _Known(dict):
+    """A function of words that remembers."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) > _WORDS:
+            self.clear()
+        self[word] = x = self.of(word)
+        return x
+
+
 class Windows:
     """Slots and neighbours of whole documents; it remembers words."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known, self.spelled = vocabulary, {}, {}
+        self.known, self.spelled = _Known(vocabulary.slot), _Known(vocabulary.spelled)
+
+    def slots(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def slots(self, words: list[str]) -> tuple[np.ndarray, float]:
-        if len(self.known) > _WORDS:
-            self.known.clear()
-            self.spelled.clear()
-        for w in set(words).difference(self.known.keys() if len(words) > len(self.known) else [w for w in words if w in self.known]):
-            self.known[w] = self.vocabulary.slot(w)
-            self.spelled[w] = self.vocabulary.spelled(w)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), sum(map(self.spelled.__getitem__, words))
+    def letters(self, words: list[str]) -> float:
+        return sum(map(self.spelled.__getitem__, words))
 
     @staticmethod
     def around(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +228,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, freq: np.ndarray, text_col: s
         size = 0
         for b in batches:
             for t in b.column(0):
-                held.append(windows.slots(words_of(t.as_py()))[0])
+                held.append(windows.slots(words_of(t.as_py())))
                 size += len(held[-1])
                 if size >= _CHUNK:
                     seen, size = seen + learn(), 0
@@ -260,10 +270,10 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, net: Network, id_co
         for b in batches:
             at, held, spelled, size = 0, [], [], 0
             for i in range(b.num_rows):
-                slots, letters = windows.slots(words_of(b.column(1)[i].as_py()))
-                held.append(slots)
-                spelled.append(letters)
-                size += len(slots)
+                words = words_of(b.column(1)[i].as_py())
+                held.append(windows.slots(words))
+                spelled.append(windows.letters(words))
+                size += len(words)
                 if size >= _CHUNK or i == b.num_rows - 1:
                     around, target = Windows.around(held)
                     p = np.concatenate([np.zeros(0), *[model.passes(around[s : s + BATCH], target[s : s + BATCH]) for s in range(0, len(target), BATCH)]]).astype(np.float64)
