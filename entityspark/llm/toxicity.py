@@ -13,7 +13,6 @@ number for each word is kept, and the words of many documents advance together.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,12 +25,15 @@ from pyspark.sql import functions as F
 from .common import WORD, table
 
 #: The field is fitted on at most so many labelled documents of each label, the first by a hash of their id.
-SAMPLE = 3000
+SAMPLE = 2000
 BITS = 18
 SEGMENT = 64
-#: A word counts as toxic in training if some part of it is so many times likelier in toxic documents, and in as many.
-RATIO, SEEN = 25.0, 4
+#: A word counts as toxic in training if some part of it is so many times likelier in toxic documents, and so surely
+#: that chance would give less than one such part among all.
+RATIO = 10.0
 FLOOR = 0.1
+#: Of each label and part of the sample; with fewer, the sample isn't parted.
+FEW = 40
 _TOKENS, _WORDS = 2_000_000, 400_000
 
 
@@ -125,34 +127,86 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) ->
     return w
 
 
-def word_labels(docs: list[list[str]], y: np.ndarray, ratio: float = RATIO, seen: int = SEEN) -> list[np.ndarray]:
-    """A 0/1 label for each word of each labelled document."""
-    counts = Counter(), Counter()
-    parts = {}
+def toxic_words(docs: list[np.ndarray], table: np.ndarray, y: np.ndarray, ratio: float = RATIO) -> np.ndarray:
+    """Which words (rows of table, their features) are toxic, by the documents, as word numbers, that hold a feature.
+
+    Chance is bounded by exp(-n * KL(share in toxic documents, their share of all)), over the n documents that hold it.
+    """
+    counts = np.zeros((2, 1 << BITS))
     for words, label in zip(docs, y.tolist()):
-        of = set()
-        for w in set(words):
-            if w not in parts:
-                parts[w] = features(w)
-            of.update(parts[w])
-        counts[label].update(of)
+        counts[label, np.unique(table[np.unique(words)])] += 1
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    toxic = {f for f, c in counts[1].items() if c >= seen and c / n1 >= ratio * (counts[0][f] + 0.5) / n0}
-    bad = {w for w, fs in parts.items() if toxic.intersection(fs)}
-    return [np.fromiter((w in bad for w in words), float, len(words)) * label for words, label in zip(docs, y.tolist())]
-
-
-def fit(texts: list[str | None], labels: Iterable[int], steps: int = 80, rate: float = 0.15, l2: float = 1e-4) -> Field:
-    """Maximum conditional likelihood of the word labels by full gradient steps (Adam), then the document's logistic."""
+    n, q = counts.sum(0), n1 / (n0 + n1)
+    share = np.clip(counts[1] / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+    surprise = n * (share * np.log(share / q) + (1 - share) * np.log((1 - share) / (1 - q)))
+    toxic = (counts[1] / n1 >= ratio * (counts[0] + 0.5) / n0) & (surprise >= np.log(max(2, (n > 0).sum())))
+    return toxic[table].any(1)
+
+
+def distinct_texts(docs: list[np.ndarray]) -> np.ndarray:
+    """Places of the documents that are not near copies of one before: none shares the least hash of its runs of five
+    words under either of two hashes."""
+    seen: set[tuple[int, int]] = set()
+    keep = []
+    for i, words in enumerate(docs):
+        w = words.astype(np.uint64) + np.uint64(1)
+        k = min(5, len(w))
+        keys = []
+        for seed, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+            h = np.full(max(1, len(w) - k + 1), seed, np.uint64)
+            for j in range(k):
+                h = (h ^ w[j : len(w) - k + 1 + j]) * np.uint64(m)
+                h ^= h >> np.uint64(31)
+            keys.append((seed, int(h.min())))
+        if not seen.intersection(keys):
+            keep.append(i)
+        seen.update(keys)
+    return np.array(keep, int)
+
+
+def fit(texts: list[str | None], labels: Iterable[int], prior: float | None = None, steps: int = 80, rate: float = 0.15, l2: float = 1e-4) -> Field:
+    """Maximum conditional likelihood of the word labels by full gradient steps (Adam), then the document's logistic.
+
+    The logistic learns from every third document, scored by a field that the others taught, and so sees chances of
+    unseen texts; the field is then taught by all. With few documents all do both. prior: the part of toxic documents beyond the sample, if it isn't the sample's.
+    """
     y = np.asarray(list(labels), int)
-    docs = [words_of(t) for t in texts]
     if not len(y) or y.min() == y.max():  # nothing to tell apart: the score is the label, or 0
         odds = 4.0 if len(y) and y.max() else -4.0
         return Field(np.zeros(1 << BITS), np.ones((2, 2)), np.array([odds, 0, 0, 0]))
-    tags = word_labels(docs, y)
     index: dict[str, int] = {}
-    ids = [np.fromiter((index.setdefault(w, len(index)) for w in words), int, len(words)) for words in docs]
-    table_ = np.array([features(w) for w in index], int).reshape(len(index), 7)
+    ids = []
+    for t in texts:  # a text's words are numbers from here on; each distinct word is held once
+        words = words_of(t)
+        ids.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
+    first = distinct_texts(ids)  # copies would lend their rare words weight
+    ids, y = [ids[i] for i in first], y[first]
+    table_ = np.empty((len(index), 7), np.int32)
+    for i, w in enumerate(index):
+        table_[i] = features(w)
+    del index
+    if y.min() == y.max():
+        return fit([], y[:1])
+    teach = np.arange(len(y)) % 3 != 2
+    if min((y[part] == k).sum() for k in (0, 1) for part in (teach, ~teach)) < FEW:
+        teach[:] = True
+    check = ~teach if not teach.all() else teach
+    w, m = _train([ids[i] for i in np.flatnonzero(teach)], table_, y[teach], steps, rate, l2)
+    tested, y_tested = [ids[i] for i in np.flatnonzero(check)], y[check]
+    flat, lengths = np.concatenate(tested), np.array(list(map(len, tested)))
+    r = np.exp(np.clip(w[table_].sum(1), -30, 30))[flat]
+    doc = logistic(document_features(marginals(r, lengths, m), lengths), y_tested)
+    if prior is not None and 0 < prior < 1:
+        doc[0] += np.log(prior / (1 - prior)) - np.log(y_tested.mean() / (1 - y_tested.mean()))
+    if not teach.all():
+        w, m = _train(ids, table_, y, steps, rate, l2)
+    return Field(w, m, doc)
+
+
+def _train(ids: list[np.ndarray], table_: np.ndarray, y: np.ndarray, steps: int, rate: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Feature weights and exp of the transition weights."""
+    bad = toxic_words(ids, table_, y)
+    tags = [bad[words].astype(float) * label for words, label in zip(ids, y.tolist())]
     flat, goal = np.concatenate(ids), np.concatenate(tags)
     lengths = np.array(list(map(len, ids)))
     # Training alone cuts the chains into segments; all words of the sample take part.
@@ -178,27 +232,28 @@ def fit(texts: list[str | None], labels: Iterable[int], steps: int = 80, rate: f
             state[i + 1] = 0.99 * state[i + 1] + 0.01 * grad**2
             x -= rate * (state[i] / (1 - 0.9**k)) / (np.sqrt(state[i + 1] / (1 - 0.99**k)) + 1e-8)
     m = np.exp(move - move.max())
-    r = np.exp(np.clip(w[table_].sum(1), -30, 30))[flat]
-    return Field(w, m, logistic(document_features(marginals(r, lengths, m), lengths), y))
+    return w, m
+
+
+class _Odds(dict):
+    def __init__(self, field: Field):
+        self.field = field
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > _WORDS:
+            self.clear()
+        self[word] = o = self.field.odds(word)
+        return o
 
 
 class Tagger:
     """Scores texts; it remembers the odds of words."""
 
     def __init__(self, field: Field):
-        self.field, self.known = field, {}
+        self.field, self.known = field, _Odds(field)
 
     def odds(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), float, len(words))
-        except KeyError:
-            if len(known) > _WORDS:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = self.field.odds(w)
-            return np.fromiter(map(known.__getitem__, words), float, len(words))
+        return np.fromiter(map(self.known.__getitem__, words), float, len(words))
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
         r = [self.odds(words_of(t)) for t in texts]
@@ -238,7 +293,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     chosen = pick(1).union(pick(0))  # 2 * sample rows at most
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("__id", "text", "y").collect()
     rows.sort(key=lambda r: (r["__id"], r["text"] or ""))
-    return fit([r["text"] for r in rows], [int(r["y"]) for r in rows])
+    n = {int(r["y"]): r["n"] for r in mine.groupBy("y").agg(F.count("*").alias("n")).collect() if r["y"] in (0, 1)}
+    return fit([r["text"] for r in rows], [int(r["y"]) for r in rows], n.get(1, 0) / max(1, sum(n.values())))
 
 
 def score_toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

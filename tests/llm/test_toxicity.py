@@ -1,6 +1,7 @@
 """The field's marginals against sums over all labellings; held-out accuracy on real rows."""
 
 import itertools
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -30,8 +31,12 @@ def test_marginals():
 
 
 def test_cases(spark):
-    texts = ["you idiot and moron", "a fine day", "what an idiot", "the sun is out"] * 30
-    field = x.fit(texts, [1, 0, 1, 0] * 30)
+    rng = random.Random(6)
+    filler = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(8))
+    texts = [f"{filler()} {part} {filler()}" for part in ("you idiot and moron", "a fine day", "what an idiot moron", "the sun is out") * 40]
+    field = x.fit(texts, [1, 0, 1, 0] * 40)
+    copies = x.distinct_texts([np.array([1, 2, 3, 4, 5, 6]), np.array([1, 2, 3, 4, 5, 6]), np.array([], int), np.array([9])])
+    assert copies.tolist() == [0, 2, 3]
     df = spark.createDataFrame([(1, "A fine idiot, moron!", 2.0), (2, None, 1.0), (3, "", 1.0), (4, "the sun " * 30_000, 1.0), (1, "A fine idiot, moron!", 2.0)], "doc_id long, text string, score double")
     rows = x.score_toxicity(df, field).collect()
     by = {r["doc_id"]: r for r in rows}
