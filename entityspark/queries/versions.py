@@ -78,21 +78,22 @@ def destroy_batch(t: Tables):
 
 
 @query("""
-SELECT r_regionkey::BIGINT AS id, 0 AS depth FROM region WHERE r_regionkey = 2
-UNION ALL SELECT n_nationkey + 100, 1 FROM nation WHERE n_regionkey = 2
-UNION ALL SELECT c_custkey * 10 + 1000, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2
-UNION ALL SELECT o_orderkey * 10 + 1, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2""")
+SELECT (r_regionkey * 16)::BIGINT AS id, 0 AS depth FROM region WHERE r_regionkey = 2
+UNION ALL SELECT n_nationkey * 16 + 1, 1 FROM nation WHERE n_regionkey = 2
+UNION ALL SELECT c_custkey * 16 + 2, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2
+UNION ALL SELECT o_orderkey * 16 + 3, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2""")
 def cascade_delete(t: Tables):
-    """A deleted region takes its nations, their customers and their orders along."""
+    """A deleted region takes its nations, their customers and their orders along; ids carry their kind."""
     from ..operators.checkpoints import ensure
 
     ensure(t.spark)
+    id_ = lambda key, kind: (F.col(key) * 16 + kind).cast("long")
     links = [
-        (t.nation.select((F.col("n_nationkey") + 100).cast("long").alias("i"), (F.col("n_regionkey")).cast("long").alias("p")).where("n_regionkey <> 0"), "i", "p"),
-        (t.customer.select((F.col("c_custkey") * 10 + 1000).alias("i"), (F.col("c_nationkey") + 100).cast("long").alias("p")), "i", "p"),
-        (t.orders.select((F.col("o_orderkey") * 10 + 1).alias("i"), (F.col("o_custkey") * 10 + 1000).alias("p")), "i", "p"),
+        (t.nation.select(id_("n_nationkey", 1).alias("i"), id_("n_regionkey", 0).alias("p")), "i", "p"),
+        (t.customer.select(id_("c_custkey", 2).alias("i"), id_("c_nationkey", 1).alias("p")), "i", "p"),
+        (t.orders.select(id_("o_orderkey", 3).alias("i"), id_("o_custkey", 2).alias("p")), "i", "p"),
     ]
-    return store.cascade(t.region.where("r_regionkey = 2").select(F.col("r_regionkey").cast("long").alias("id")), links, most=None)
+    return store.cascade(t.region.where("r_regionkey = 2").select(id_("r_regionkey", 0).alias("id")), links, most=None)
 
 
 @query("SELECT c_custkey, ((CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END + 2) & ~(CASE WHEN c_nationkey = 3 THEN 2 ELSE 0 END))::INTEGER AS enabled FROM customer")
