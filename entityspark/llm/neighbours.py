@@ -21,6 +21,8 @@ from .common import materialize, partitions, table
 
 #: Codebooks, their words, beam width, and vectors in the sample on which the codebooks are fitted.
 BOOKS, WORDS, BEAM, SAMPLE = 8, 256, 8, 16_384
+#: Rows that are encoded at a time.
+ROWS = 1024
 #: Index rows and queries that meet in one task, and the candidates that a query keeps there.
 INDEX_BLOCK, QUERY_BLOCK, CANDIDATES = 65_536, 256, 128
 
@@ -36,8 +38,11 @@ class Codebooks:
         return cls(words, (flat @ flat.T).reshape(words.shape[0], words.shape[1], words.shape[0], words.shape[1]))
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
-        """Codes by beam search: the squared error of a partial sum grows by |c|^2 - 2 x.c + 2 sum of c.c' with the
-        words chosen before."""
+        """Codes by beam search, of some rows at a time."""
+        return np.concatenate([self._encode(x[at : at + ROWS], beam) for at in range(0, len(x), ROWS)])
+
+    def _encode(self, x: np.ndarray, beam: int) -> np.ndarray:
+        """The squared error of a partial sum grows by |c|^2 - 2 x.c + 2 sum of c.c' with the words chosen before."""
         n, books, k = len(x), len(self.words), self.words.shape[1]
         codes, cost = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1), np.float32)
         for m in range(books):
@@ -190,8 +195,8 @@ def nearest(
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books_ = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
                 codes = books_.encode(_matrix(part.column(1), width), beam)
                 norm = (books_.decode(codes).astype(np.float64) ** 2).sum(1).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["key", "block", "code", "norm"])
