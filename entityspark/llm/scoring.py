@@ -122,9 +122,10 @@ class Network:
         n = len(target)
         h = self.near[around[:, 0]]
         for i in range(1, 2 * SIDE):
-            h = h + self.near[around[:, i]]
-        h = np.tanh(h + self.bias)
-        c, w = target // SIZE, target % SIZE
+            h += self.near[around[:, i]]
+        h += self.bias
+        np.tanh(h, out=h)
+        c, w = np.divmod(target, SIZE)
         z = h @ self.cls.T + self.cls_bias
         z -= z.max(1, keepdims=True)
         e = np.exp(z)
@@ -138,32 +139,39 @@ class Network:
             grad.cls += d.T @ h
             grad.cls_bias += d.sum(0)
             back = d @ self.cls
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[cuts[k] : cuts[k + 1]]
-            if not len(at):
+        order = np.argsort(c.astype(np.uint8), kind="stable")  # a radix sort
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))]).tolist()
+        hs, ws, inner = h[order], w[order], np.empty(n, np.float32)
+        if grad is not None:
+            more = np.empty_like(hs)
+        for k, (start, end) in enumerate(zip(cuts, cuts[1:])):
+            if start == end:
                 continue
-            hk = h[at]
-            z = hk @ self.word[k].T + self.word_bias[k]
+            hk, wk, mine = hs[start:end], ws[start:end], rows[: end - start]
+            z = hk @ self.word[k].T
+            z += self.word_bias[k]
             z -= z.max(1, keepdims=True)
             e = np.exp(z)
             total = e.sum(1)
-            mine = np.arange(len(at))
-            out[at] += z[mine, w[at]] - np.log(total)
+            inner[start:end] = z[mine, wk] - np.log(total)
             if grad is not None:
-                d = e / total[:, None]
-                d[mine, w[at]] -= 1
-                d /= n
-                grad.word[k] += d.T @ hk
-                grad.word_bias[k] += d.sum(0)
-                back[at] += d @ self.word[k]
+                e /= total[:, None]
+                e[mine, wk] -= 1
+                e /= n
+                grad.word[k] += e.T @ hk
+                grad.word_bias[k] += e.sum(0)
+                more[start:end] = e @ self.word[k]
+        out[order] += inner
+        if grad is not None:
+            back[order] += more
         if grad is not None:
             back *= 1 - h * h
             grad.bias += back.sum(0)
-            used, inverse = np.unique(around.T.ravel(), return_inverse=True)
-            for j in range(DIM):
-                grad.near[used, j] += np.bincount(inverse, weights=np.tile(back[:, j], 2 * SIDE), minlength=len(used))
+            for i in range(2 * SIDE):  # each place has rows of its own
+                low = i * (VOCABULARY + 1)
+                at, rows_of = around[:, i] - low, grad.near[low : low + VOCABULARY + 1]
+                for j in range(DIM):
+                    rows_of[:, j] += np.bincount(at, weights=back[:, j], minlength=VOCABULARY + 1)
         return out
 
 
