@@ -2,9 +2,10 @@
 
 A vector is approximated by the sum of one full-dimensional word from each of M codebooks. The codebooks are fitted on
 a bounded sample as residual k-means and refined by least squares; encoding keeps a beam of the best partial sums. The
-index holds M bytes and the norm of the approximation for each distinct vector. A query's inner products with all code
-words make a lookup table, sums of M entries score the whole index, and the best are ranked again on the original
-vectors in double precision.
+index holds M bytes and the length of the rest, what the approximation lacks, for each distinct vector. A query's inner
+products with all code words make a lookup table, and sums of M entries score the whole index. The best by that score are
+scored exactly; every row whose bound, its score plus the product of the query's length and the rest's, reaches the worst
+of the best k + 1 of these is then scored exactly too, so no neighbour is lost, whatever the codes are worth.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from .common import materialize, partitions, table
 BOOKS, WORDS, BEAM, SAMPLE = 8, 256, 8, 16_384
 #: Rows that are encoded at a time.
 ROWS = 1024
-#: Index rows and queries that meet in one task, and the candidates that a query keeps there.
+#: Share of index rows within the bound beyond which one product with all rows is cheaper than picking them.
+DENSE = 1 / 16
+#: Index rows and queries that meet at a time, and the candidates whose exact scores set a query's bound there.
 INDEX_BLOCK, QUERY_BLOCK, CANDIDATES = 65_536, 256, 128
 
 
@@ -97,6 +100,32 @@ def fit_codebooks(x: np.ndarray, books: int = BOOKS, words: int = WORDS, beam: i
     return fitted
 
 
+def reaching(q: np.ndarray, x: np.ndarray, codes: np.ndarray, rest: np.ndarray, books: Codebooks, k: int, candidates: int) -> list[np.ndarray]:
+    """For each query, the rows of x that may be among its k best by inner product: all of them and their ties.
+
+    codes has a row for each book, and rest[i] is at least the distance of x[i] from its approximation.
+    """
+    lut = np.einsum("qd,mwd->mqw", q.astype(np.float32), books.words)
+    guess = lut[0][:, codes[0]]
+    for i in range(1, len(codes)):
+        guess += lut[i][:, codes[i]]
+    k, c = min(k, len(x)), min(max(candidates, k), len(x))
+    first = np.argpartition(-guess, c - 1, 1)[:, :c]
+    length = np.sqrt((q**2).sum(1))
+    # What rounding may cost: in single precision the sum of the tables' entries, in double the products.
+    loose = 1e-5 * length * np.sqrt((books.words.astype(np.float64) ** 2).sum(2).max(1)).sum()
+    close = 1e-12 * length * np.sqrt((x**2).sum(1).max())
+    floor = np.array([np.partition(x[f] @ v, c - k)[c - k] for f, v in zip(first, q)]) - close
+    within = guess + length[:, None] * rest[None, :] + loose[:, None] >= floor[:, None]
+    whole = q @ x.T if within.mean() > DENSE else None
+    out = []
+    for i, v in enumerate(q):
+        at = np.flatnonzero(within[i])
+        exact = x[at] @ v if whole is None else whole[i, at]
+        out.append(at[exact >= np.partition(exact, len(at) - k)[len(at) - k] - close[i]])
+    return out
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the vectors that take part: none null, zero, or with null or non-finite components."""
     v = F.col("v")
@@ -104,10 +133,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int, kind: type = np.float32) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float32)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(kind)
+
+
+def _kind(t: pa.DataType) -> type:
+    return np.float32 if pa.types.is_float32(t) else np.float64
 
 
 def _packed(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
@@ -140,7 +173,7 @@ def _packed(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
         if pa.types.is_binary(c.type):
             return b"".join(c.to_pylist())
         if pa.types.is_list(c.type):
-            return c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).tobytes()
+            return c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(_kind(c.type.value_type)).tobytes()
         return c.to_numpy().tobytes()
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -164,8 +197,9 @@ def nearest(
     index_block: int = INDEX_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows of vectors, other than the query's own id, that the search finds
-    with the largest inner product, largest first, ties to the smaller id; score is exact, in double precision.
+    """(query_id, rank, vec_id, score): the k rows of vectors, other than the query's own id, with the largest inner
+    product, largest first, ties to the smaller id; score is exact, in double precision. `candidates` sets only where a
+    query's bound starts, not what is found.
 
     Null, zero and non-finite vectors, null ids and vectors of another length than most take no part on either side.
     Equal vectors are indexed once, with their k + 1 smallest ids, so that repeated rows of any number are all found
@@ -177,6 +211,7 @@ def nearest(
     if top is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = top["n"]
+    kinds = [np.float32 if dict(df.dtypes)[vector_col] == "array<float>" else np.float64 for df in (vectors, queries)]
     good = good.where(F.size("v") == width).withColumn("key", F.xxhash64("v"))
     # The window's limit applies before the shuffle too, so a vector's copies don't gather in one task.
     first = good.withColumn("at", F.row_number().over(Window.partitionBy("key", "v").orderBy("id"))).where(F.col("at") <= k + 1)
@@ -197,13 +232,14 @@ def nearest(
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                codes = books_.encode(_matrix(part.column(1), width), beam)
-                norm = (books_.decode(codes).astype(np.float64) ** 2).sum(1).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["key", "block", "code", "norm"])
+                full = _matrix(part.column(1), width, np.float64)
+                codes = books_.encode(full.astype(np.float32), beam)
+                rest = np.sqrt(((full - books_.decode(codes)) ** 2).sum(1)) * (1 + 1e-6)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(rest), part.column(1)], ["key", "block", "code", "rest", "v"])
 
     blocks, rows = max(1, -(-n // index_block)), max(1, -(-n_asked // query_block))
-    coded = index.select("key", "v", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(blocks)).alias("block")).mapInArrow(encode, "key long, block long, code binary, norm float")
-    packed = _packed(coded, "block", {"key": "long", "code": "binary", "norm": "float"})
+    coded = index.select("key", "v", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(blocks)).alias("block")).mapInArrow(encode, f"key long, block long, code binary, rest double, v {dict(index.dtypes)['v']}")
+    packed = _packed(coded, "block", {"key": "long", "code": "binary", "rest": "double", "v": "array"})
     asked_in = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id", F.lit(4)), F.lit(rows)))
     packed_queries = _packed(asked_in, "query_block", {"query_id": "long", "query": "array<float>"})
     # Each block of the index meets each block of the stated queries once.
@@ -213,25 +249,19 @@ def nearest(
         books_ = shared.value
         m = len(books_.words)
         for b in batches:
-            for keys, codes, ids, q in zip(*(b.column(i).to_pylist() for i in range(4))):
-                keys, ids = np.frombuffer(keys, np.int64), np.frombuffer(ids, np.int64)
-                codes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(-1, m).T)
-                q = np.frombuffer(q, np.float32).reshape(len(ids), -1)
-                c = min(candidates, len(keys))
+            for row in range(b.num_rows):
+                keys, codes, rest, x, ids, q = (np.frombuffer(b.column(i)[row].as_buffer(), t) for i, t in enumerate((np.int64, np.uint8, np.float64, kinds[0], np.int64, kinds[1])))
+                codes, x, q = np.ascontiguousarray(codes.reshape(-1, m).T), *(v.reshape(-1, width).astype(np.float64) for v in (x, q))
                 for at in range(0, len(ids), 32):
-                    lut = np.einsum("qd,mwd->mqw", q[at : at + 32], books_.words)
-                    score = lut[0][:, codes[0]]
-                    for i in range(1, m):
-                        score += lut[i][:, codes[i]]
-                    best = np.argpartition(-score, c - 1, 1)[:, :c]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids[at : at + 32], c)), pa.array(keys[best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel().astype(np.float64))], ["query_id", "key", "guess"]
-                    )
-
-    found = pairs.select("keys", "codes", "query_ids", "querys").mapInArrow(search, "query_id long, key long, guess double")
-    if blocks > 1:
-        best = Window.partitionBy("query_id").orderBy(F.desc("guess"), "key")
-        found = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= candidates)
+                    some = q[at : at + 32]
+                    best = reaching(some, x, codes, rest, books_, k + 1, candidates)
+                    guess = np.concatenate([np.add.accumulate(x[f] * v, 1)[:, -1] for f, v in zip(best, some)])  # in the order of the last score
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 32], list(map(len, best)))), pa.array(keys[np.concatenate(best)]), pa.array(guess)], ["query_id", "key", "guess"])
+
+    found = pairs.select("keys", "codes", "rests", "vs", "query_ids", "querys").mapInArrow(search, "query_id long, key long, guess double")
+    if blocks > 1:  # rank, not row_number: ties all stay, as their least ids decide
+        best = Window.partitionBy("query_id").orderBy(F.desc("guess"))
+        found = found.withColumn("at", F.rank().over(best)).where(F.col("at") <= k + 1)
     both = found.join(index, "key").join(asked, "query_id")
     score = F.aggregate(F.zip_with("query", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     ranked = both.select("query_id", "ids", score.alias("score"))

@@ -62,3 +62,19 @@ def test_norms_of_codes():
     books = nn.fit_codebooks(x, books=4, words=32)
     wide, narrow = (((books.decode(books.encode(x, beam)) - x) ** 2).sum() for beam in (8, 1))
     assert wide <= narrow < (x**2).sum()
+
+
+def test_nothing_lost_outside_the_sample(spark):
+    """20,000 isotropic vectors, of which the codebooks are fitted on 1,000: the codes are poor, the result is whole."""
+    x = np.random.default_rng(8).normal(size=(20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nn.nearest(df, df.where("vec_id % 400 = 0"), words=64, sample=1000, index_block=7000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    full = x.astype(np.float64)
+    assert len(got) == 50
+    for q, found in got.items():
+        s = full @ full[q]
+        s[q] = -np.inf
+        assert found == set(np.argsort(-s)[:20].tolist())
