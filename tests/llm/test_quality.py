@@ -1,6 +1,7 @@
 """Co-training: what the views exchange, odd rows, and held-out accuracy on real rows."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from entityspark.llm import quality as q
 
@@ -41,3 +42,18 @@ def test_held_out(spark):
     rows = q.op10_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("quality", "predicted").toPandas()
     assert (rows.quality == rows.predicted).mean() > 0.95
     assert rows[rows.quality == 1].predicted.mean() > 0.97
+
+
+def test_every_document_teaches(spark):
+    """Sources that the bounded sample of the unlabelled documents never holds are learnt all the same."""
+    sampled = {r["id"] for r in spark.range(900).where("id < 60 or id >= 100").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(20).collect()}
+
+    def doc(i):
+        source = "x" if i < 60 or i in sampled else "clean" if i % 2 else "dirty"
+        return (i, "fine clear prose reads well here" if i % 2 else "$$$ ### %%% buy now buy now", "en", source, 30)
+
+    df = spark.createDataFrame([doc(i) for i in [*range(60), *range(100, 900)]], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = q.fit_quality(df, labels, n_unlabelled=20)
+    weight = lambda s: float(model.page.raw([q.PageView().row("", q.Counter(), "en", s, 10)])[0])
+    assert weight("clean") - weight("dirty") > 0.05
