@@ -28,14 +28,70 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 #: A shard is closed beyond this many bytes; it bounds what a reader holds.
 SHARD_BYTES = 32 << 20
-#: Texts are encoded in groups of about so many characters, and so many distinct words are remembered.
-GROUP_CHARS, WORDS = 1 << 20, 500_000
+#: Texts are encoded in groups of about so many characters, and so many distinct pieces are remembered.
+GROUP_CHARS, WORDS = 1 << 22, 500_000
 _MASK = 0xA282EAD8
-# A whole run of common letters with a space before it, or else all up to the next white space with what stands before
-# it. Byte-level pre-tokenisation never joins what stands on both sides of such a boundary, unless a control character
-# is white space for only one of the two pattern engines.
-_CHUNK = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[\s!-@\[-`{-~]|\Z)|\s*\S+|\s+")
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_SPACE, _LETTER, _MARK, _TAIL, _OTHER = 1, 2, 3, 4, 0
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each byte: white space, letter and mark of ASCII, a byte that goes on a character, and others."""
+    out = np.zeros(256, np.uint8)
+    out[[*range(9, 14), 32]] = _SPACE
+    out[33:127] = _MARK
+    out[[*range(65, 91), *range(97, 123)]] = _LETTER
+    out[48:58] = _OTHER
+    out[128:192] = _TAIL
+    return out
+
+
+_KIND = _kinds()
+# Bytes that surely begin a character other than white space.
+_BEGINS = np.zeros(256, bool)
+_BEGINS[[*range(33, 127), *range(0xC3, 0xE0)]] = True
+
+
+# One word for byte-level pre-tokenisation: letters of ASCII and Latin-1, with a space before them or without.
+_WORD = re.compile(rb"\x20?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter by which byte-level vocabularies write each byte: itself if it shows, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places at which the texts, which begin at starts, may be cut without a change of their ids: byte-level
+    pre-tokenisation ends a piece there, and the parts alone are cut as they are together.
+
+    These are the texts' starts, and, where the characters on both sides are surely told apart: the start of a run of
+    white space, its last character, and what follows that unless it is a space, which belongs to the word; and a mark
+    after a letter.
+    """
+    n = len(data)
+    kind, begins = _KIND[data], _BEGINS[data]
+    space = kind == _SPACE
+    first = np.zeros(n + 1, bool)
+    first[starts] = True
+    before = np.empty(n, bool)  # the character before is surely none of white space
+    before[:1] = False
+    before[1:] = (data[:-1] > 32) & (data[:-1] < 127)
+    two = (kind[1:-1] == _TAIL) & (data[:-2] >= 0xC3) & (data[:-2] < 0xE0)
+    before[2:] |= two
+    after = np.zeros(n, bool)  # the character after is surely none of white space, and of the same text
+    after[:-1] = begins[1:] & ~first[1:n]
+    spaced = np.zeros(n, bool)
+    spaced[1:] = space[:-1]
+    ends_run = space & after & (spaced | before | first[:n])
+    cut = first[:n] | (space & before) | ends_run
+    cut[1:] |= begins[1:] & (ends_run & (data != 32))[:-1] & ~first[1:n]
+    letter = np.zeros(n, bool)
+    letter[1:] = kind[:-1] == _LETTER
+    letter[2:] |= (kind[1:-1] == _TAIL) & (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+    cut |= (kind == _MARK) & letter
+    return np.flatnonzero(cut)
 
 
 def masked_crc(data: bytes) -> int:
@@ -44,10 +100,10 @@ def masked_crc(data: bytes) -> int:
 
 
 class WordEncoder:
-    """Encodes whole texts with the tokenizers library, running each distinct word through it once.
+    """Encodes whole texts with the tokenizers library, running each distinct piece through it once.
 
-    It gives what Tokenizer.encode(text, add_special_tokens=False) gives; texts with control characters that the
-    split into words could misjudge, or with special tokens, go to the library whole.
+    It gives what Tokenizer.encode(text, add_special_tokens=False) gives; texts that may hold special tokens go to the
+    library whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -59,47 +115,91 @@ class WordEncoder:
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # of each id in bytes: one character for each
         for token, i in vocab.items():
             self.size[i] = len(token)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # the generation before, from which words in use move on
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # the generation before, from which pieces in use move on
         self.mark = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.letters = byte_letters()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode many words in one call: a line break before each is one id of its own and keeps them apart."""
-        apart = [w for w in words if "\n" not in w and not w[-1].isspace() and (w[0] == " " or not w[0].isspace())]
-        for w in set(words).difference(apart):
-            self.known[w] = self.whole(w)
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encode pieces: words by the model alone, others many in a call, with a line break before each, which is one
+        id of its own and keeps them apart."""
+        words, some = [], []
+        for w in pieces:
+            if _WORD.fullmatch(w):
+                words.append(w)
+                continue
+            text = w.decode()
+            if b"\n" in w or text[-1].isspace() or (w[0] != 32 and text[0].isspace()):
+                self.known[w] = self.whole(text)
+            else:
+                some.append(w)
+        if words:
+            model, mark = self.tokenizer.model, chr(self.letters[10])
+            flat, sizes = [], []
+            for x in b"\n".join(words).decode("latin-1").translate(self.letters).split(mark):
+                ids = [t.id for t in model.tokenize(x)]
+                flat += ids
+                sizes.append(len(ids))
+            data, start = np.array(flat, self.dtype).tobytes(), 0
+            for w, n in zip(words, sizes):
+                end = start + n * self.dtype.itemsize
+                self.known[w] = data[start:end]
+                start = end
         width, skip = self.dtype.itemsize, len(self.mark)
-        for at in range(0, len(apart), 4096):
-            some = apart[at : at + 4096]
-            ids = np.array(self.tokenizer.encode("".join(w if w[0] == " " else "\n" + w for w in some), add_special_tokens=False).ids, self.dtype)
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) + (w[0] != " ") for w in some])) + 1
+        for at in range(0, len(some), 4096):
+            part = some[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(b"".join(w if w[0] == 32 else b"\n" + w for w in part).decode(), add_special_tokens=False).ids, self.dtype)
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w) + (w[0] != 32) for w in part])) + 1
             data, start = ids.tobytes(), 0
-            for w, end in zip(some, ends.tolist()):
-                self.known[w] = data[(start + skip * (w[0] != " ")) * width : end * width]
+            for w, end in zip(part, ends.tolist()):
+                self.known[w] = data[(start + skip * (w[0] != 32)) * width : end * width]
                 start = end
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of self.dtype."""
-        words = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.known) > WORDS:
             self.known, self.old = {}, self.known
-        new: set[str] = set()
-        for w in words:
-            new.update(w or ())
+        get, old = self.known.get, self.old.get
+        out = [get(w) for w in pieces]
+        missing = [i for i, x in enumerate(out) if x is None]
         unknown = []
-        for w in new:
-            if w in self.known:
-                continue
-            if w in self.old:
-                self.known[w] = self.old[w]
-            else:
+        for i in missing:
+            w = pieces[i]
+            if (x := old(w)) is None:
                 unknown.append(w)
+            else:
+                self.known[w] = x
         self._learn(unknown)
-        get = self.known.__getitem__
-        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
+        for i in missing:
+            out[i] = self.known[pieces[i]]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian integers of self.dtype."""
+        special = {i: self.whole(t) for i, t in enumerate(texts) if "<|" in t}
+        raw = [b"" if i in special else t.encode() for i, t in enumerate(texts)]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        joined = b"".join(raw)
+        if not joined:
+            return [special.get(i, b"") for i in range(len(texts))]
+        data, starts = np.frombuffer(joined, np.uint8), np.cumsum(sizes) - sizes
+        at = cuts(data, starts[sizes > 0])
+        offsets = np.append(at, len(data)).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+        kind = pa.BinaryArray if offsets.dtype == np.int32 else pa.LargeBinaryArray
+        pieces = kind.from_buffers(pa.binary() if kind is pa.BinaryArray else pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        code = pieces.indices.to_numpy()
+        parts = self._ids(pieces.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(parts), self.dtype)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        begin = np.cumsum(size) - size
+        each = size[code]
+        ends = np.cumsum(each)
+        out = flat[np.repeat(begin[code] - (ends - each), each) + np.arange(ends[-1])].tobytes()
+        upto = np.append(0, ends)[np.searchsorted(at, np.append(starts, len(data)))] * self.dtype.itemsize
+        upto = upto.tolist()
+        return [special[i] if i in special else out[s:e] for i, (s, e) in enumerate(zip(upto, upto[1:]))]
 
 
 _workers: dict[str, WordEncoder] = {}
