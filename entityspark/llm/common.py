@@ -6,7 +6,10 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +48,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of df by a Parquet table in the shared folder; a lost executor costs no recomputation."""
+def materialize(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """Cut the lineage of df by a Parquet table in the shared folder; a lost executor costs no recomputation.
+
+    file_rows: the most rows of a file, where rows are so wide that a reader's batch of thousands is too many.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, tie): each row of docs as one struct, which keeps its columns apart from any helper's, its id and a hash
+    of its text; `row.*` gives the columns back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie"))
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """rows joined with the one row of facts of their key, however unevenly the keys are spread.
+
+    facts says in `count` how many of rows have the key. Keys with more than one in `share` of all rows are `share` at
+    most, whatever the table's size, so their facts are broadcast; the others are joined by a shuffle.
+    """
+    total = facts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = facts.where(F.col(count) * share > total)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col(count) * share <= total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -86,6 +110,46 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return kept.join(F.broadcast(starts), "__part").withColumn("rank", F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
 
 
+def packed(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """One row for each key, whose columns are the bytes of its rows' fixed-width values; blocks bound a key's rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        done: list[tuple] = []
+
+        def close(k: int) -> None:
+            t = pa.Table.from_batches(held.pop(k))
+            done.append((k, *(_bytes(t[c]) for c in columns)))
+
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                if e > s:
+                    for old in [k for k in held if k != int(keys[s])]:
+                        close(old)
+                    held.setdefault(int(keys[s]), []).append(b.slice(s, e - s))
+            while done:
+                yield _rows([done.pop()])
+        for k in list(held):
+            close(k)
+        while done:
+            yield _rows([done.pop()])
+
+    def _bytes(c: pa.ChunkedArray) -> bytes:
+        if pa.types.is_binary(c.type):
+            return b"".join(c.to_pylist())
+        if pa.types.is_list(c.type):
+            return c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32 if pa.types.is_float32(c.type.value_type) else np.float64).tobytes()
+        return c.to_numpy().tobytes()
+
+    def _rows(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i + 1] for r in rows], pa.binary()) for i in range(len(columns)))], [key, *(f"{c}s" for c in columns)])
+
+    sorted_ = df.select(F.col(key).cast("long").alias(key), *columns).repartition(partitions(df.sparkSession), key).sortWithinPartitions(key, next(iter(columns)))
+    return sorted_.mapInArrow(run, f"{key} long, " + ", ".join(f"{c}s binary" for c in columns))
+
+
 def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b) as (node, comp), comp being the least node.
 

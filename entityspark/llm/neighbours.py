@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table
+from .common import materialize, packed, partitions, table
 
 #: Codebooks, their words, beam width, and vectors in the sample on which the codebooks are fitted.
 BOOKS, WORDS, BEAM, SAMPLE = 8, 256, 8, 16_384
@@ -139,50 +139,6 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int, kind: type = np.floa
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(kind)
 
 
-def _kind(t: pa.DataType) -> type:
-    return np.float32 if pa.types.is_float32(t) else np.float64
-
-
-def _packed(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """One row for each key, whose columns are the bytes of its rows' fixed-width values; blocks bound a key's rows."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.RecordBatch]] = {}
-        done: list[tuple] = []
-
-        def close(k: int) -> None:
-            t = pa.Table.from_batches(held.pop(k))
-            done.append((k, *(_bytes(t[c]) for c in columns)))
-
-        for b in batches:
-            keys = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), b.num_rows]
-            for s, e in zip(cuts, cuts[1:]):
-                if e > s:
-                    for old in [k for k in held if k != int(keys[s])]:
-                        close(old)
-                    held.setdefault(int(keys[s]), []).append(b.slice(s, e - s))
-            while done:
-                yield _rows([done.pop()])
-        for k in list(held):
-            close(k)
-        while done:
-            yield _rows([done.pop()])
-
-    def _bytes(c: pa.ChunkedArray) -> bytes:
-        if pa.types.is_binary(c.type):
-            return b"".join(c.to_pylist())
-        if pa.types.is_list(c.type):
-            return c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(_kind(c.type.value_type)).tobytes()
-        return c.to_numpy().tobytes()
-
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i + 1] for r in rows], pa.binary()) for i in range(len(columns)))], [key, *(f"{c}s" for c in columns)])
-
-    sorted_ = df.select(F.col(key).cast("long").alias(key), *columns).repartition(partitions(df.sparkSession), key).sortWithinPartitions(key, next(iter(columns)))
-    return sorted_.mapInArrow(run, f"{key} long, " + ", ".join(f"{c}s binary" for c in columns))
-
-
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -239,11 +195,11 @@ def nearest(
 
     blocks, rows = max(1, -(-n // index_block)), max(1, -(-n_asked // query_block))
     coded = index.select("key", "v", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(blocks)).alias("block")).mapInArrow(encode, f"key long, block long, code binary, rest double, v {dict(index.dtypes)['v']}")
-    packed = _packed(coded, "block", {"key": "long", "code": "binary", "rest": "double", "v": "array"})
+    index_rows = packed(coded, "block", {"key": "long", "code": "binary", "rest": "double", "v": "array"})
     asked_in = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id", F.lit(4)), F.lit(rows)))
-    packed_queries = _packed(asked_in, "query_block", {"query_id": "long", "query": "array<float>"})
+    query_rows = packed(asked_in, "query_block", {"query_id": "long", "query": "array<float>"})
     # Each block of the index meets each block of the stated queries once.
-    pairs = packed.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<long>"))).repartition(max(partitions(spark), min(rows * blocks, 4 * partitions(spark))), "query_block", "block").join(packed_queries, "query_block")
+    pairs = index_rows.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<long>"))).repartition(max(partitions(spark), min(rows * blocks, 4 * partitions(spark))), "query_block", "block").join(query_rows, "query_block")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books_ = shared.value
