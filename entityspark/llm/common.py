@@ -150,19 +150,26 @@ def packed(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     return sorted_.mapInArrow(run, f"{key} long, " + ", ".join(f"{c}s binary" for c in columns))
 
 
-def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
+#: Edges up to which a hub with all of them is no burden for a task.
+FEW_EDGES = 500_000
+
+
+def components(edges: DataFrame, name: str, rounds: int = 40, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of edges (a, b) as (node, comp), comp being the least node.
 
     Alternating large-star and small-star steps; each round is a written table, and the driver sees one count a round.
+    Of more than `few` edges, those of hubs are joined by broadcast of the hubs, which are few: see hot_join.
     """
     spark = edges.sparkSession
     width = max(8, min(64, partitions(spark)))
     e = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, many: bool) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = both.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        if many:
+            low = materialize(low, f"{name}-stars")
+        joined = hot_join(both, low, "u", "n") if many else both.join(low, "u")
         if large:
             out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -174,7 +181,9 @@ def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
 
     last = mark(e)
     for k in range(rounds):
-        e = materialize(star(star(e, True), False).coalesce(width), f"{name}-{k + 1}")
+        many = last[0] > few
+        e = star(star(e, True, many), False, many)
+        e = materialize(e if many else e.coalesce(width), f"{name}-{k + 1}")
         now = mark(e)
         if now == last:
             break

@@ -11,15 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import boxed, materialize, table
 
 #: 1 keeps a word, 0 ignores it. The first finds texts with every fourth word replaced, the second every third.
 MASKS = ("1110111", "11011011")
 PENALTY = 1.5
 #: Words that must agree: this many, or for short items this part of them, five at least.
 WORDS, PART, LEAST = 12, 0.6, 5
-#: Items of fewer words match nothing: they say too little.
-MIN_ITEM = 3
+#: Items of fewer words say too little inside a text: they match texts that have their words alone.
+SHORT_ITEM = 3
+#: Items of up to so many words have seeds of their own: all their words, and all but one where one may differ.
+OWN_SEEDS = 8
 #: Benchmark seeds of up to so many rows (24 bytes each) and item words are broadcast; more are joined by a shuffle.
 BROADCAST_SEEDS, BROADCAST_WORDS = 1_000_000, 2_000_000
 
@@ -41,6 +43,11 @@ def seeds(h: Column, masks: list[str]) -> Column:
     return F.concat(*[under(m) for m in masks])
 
 
+def own_masks(n: int) -> list[str]:
+    """The masks of items of n words: all words, and from the length on at which one may differ, all but each one."""
+    return ["1" * n, *("1" * i + "0" + "1" * (n - 1 - i) for i in range(n) if n > LEAST)]
+
+
 def _overlap(doc: Column, item: Column, shift: Column) -> Column:
     """The best stretch with item word k over doc word k + shift: struct<score, matched, first>, first in the item."""
     low = F.greatest(F.lit(0), -shift)
@@ -70,30 +77,35 @@ def find_leaks(
     masks: tuple[str, ...] = MASKS,
     words: int = WORDS,
     part: float = PART,
+    short_item: int = SHORT_ITEM,
     broadcast_seeds: int = BROADCAST_SEEDS,
 ) -> DataFrame:
     """(doc_id, tie, item_id, matched, item_words, doc_start, score): pairs of a document and a benchmark item it holds.
 
     matched words of the item agree in the best stretch, which starts at word doc_start of the text; a pair counts
-    from min(words, part of the item) agreeing words on. Words are runs of letters and digits, in lower case. Items of
-    fewer words than a mask have a seed of all their words; those under three words match nothing. A null text counts
+    from min(words, part of the item) agreeing words on, five at least. Words are runs of letters and digits, in lower
+    case. Items of up to OWN_SEEDS words are found whole, or with any one word replaced if the best stretch then has enough; those
+    under short_item words only as all the words of a text. Items without words match nothing. A null text counts
     as empty and has no pairs; repeated rows give one pair; null ids take part; empty tables give no rows; whole
     texts of any length are searched; other columns are ignored. tie is a hash of the text.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("t")).where(F.size("t") >= MIN_ITEM)
+    items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("t")).where(F.size("t") >= 1)
     items = materialize(items.select(F.xxhash64("item_id", "t").alias("item"), "item_id", "t").dropDuplicates(["item"]), "items")
-    shortest = min(map(len, masks))
-    # Of lengths below the shortest mask there are a few at most.
-    short = sorted(r[0] for r in items.where(F.size("t") < shortest).select(F.size("t")).distinct().collect())
-    every = [*masks, *("1" * n for n in short)]
-    own = [F.when(F.size("t") == n, seeds(F.col("t"), ["1" * n])) for n in short]
+    # A few lengths at most; a length that no item has costs nothing.
+    short = sorted(r[0] for r in items.where(F.size("t") <= max(OWN_SEEDS, min(map(len, masks)) - 1)).select(F.size("t")).distinct().collect())
+    whole = [n for n in short if n < short_item]
+    inside = [m for n in short if n >= short_item for m in own_masks(n)]
+    own = [F.when(F.size("t") == n, seeds(F.col("t"), [*(own_masks(n) if n >= short_item else ["1" * n]), *masks])) for n in short]
     marked = items.select("item", F.explode(F.coalesce(*own, seeds(F.col("t"), list(masks)))).alias("s")).select(F.col("s.seed").alias("seed"), "item", F.col("s.pos").alias("item_pos"))
     marked = materialize(marked, "item-seeds")
     n_words = items.agg(F.coalesce(F.sum(F.size("t")), F.lit(0))).first()[0]
     need = F.least(F.lit(words), F.greatest(F.ceil(F.size("t") * F.lit(part)).cast("int"), F.least(F.size("t"), F.lit(LEAST))))
 
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), word_hashes(F.col(text_col)).alias("h"))
-    placed = hashed.select("doc_id", "tie", "h", F.explode(seeds(F.col("h"), every)).alias("s"))
+    found_in = seeds(F.col("h"), [*masks, *inside])
+    if whole:
+        found_in = F.concat(found_in, *[F.when(F.size("h") == n, seeds(F.col("h"), ["1" * n])).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>")) for n in whole])
+    placed = hashed.select("doc_id", "tie", "h", F.explode(found_in).alias("s"))
     if marked.count() <= broadcast_seeds and n_words <= BROADCAST_WORDS:
         # One pass over the texts: a text's words are still at hand where a seed hits.
         hit = placed.join(F.broadcast(marked), F.col("s.seed") == F.col("seed")).select("doc_id", "tie", "h", "item", (F.col("s.pos") - F.col("item_pos")).alias("shift"))
@@ -109,10 +121,15 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark item."""
-    bad = materialize(find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__b_id"), F.col("tie").alias("__b_tie")).distinct(), "leaks")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__b_id")) & (F.xxhash64(F.col(text_col)) == F.col("__b_tie")), "left_anti")
+    """The rows of docs, all columns whatever their names, that hold no benchmark item.
+
+    Null and empty texts stay; rows repeated with one id and text go or stay together; null ids are told apart by their
+    texts; empty tables of documents give no rows, and of items all rows; options are those of find_leaks.
+    """
+    bad = materialize(find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("bad_id"), F.col("tie").alias("bad_tie")).distinct(), "leaks")
+    return boxed(docs, id_col, text_col).join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("tie") == F.col("bad_tie")), "left_anti").select("row.*")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
+    """find_leaks of all documents and benchmark items, whose docstring defines every case."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tie")

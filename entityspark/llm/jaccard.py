@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, partitions, table
+from .common import boxed, components, hot_join, materialize, partitions, table
 from .shingles import N, MinHash, choose_bands, shingle_set
 
 THRESHOLD = 0.8
@@ -101,9 +101,9 @@ def _blocked(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
 
     A key of up to `block` rows has the one pair (0, 0). A larger one has k blocks, and its rows go to k pairs each.
     """
-    count = rows.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1")
+    count = materialize(rows.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1"), "block-counts")
     many = F.ceil(F.col("__n") / F.lit(block)).cast("int")
-    x = rows.join(count, key).withColumn("side", F.pmod(F.xxhash64(member, F.lit(5)), many).cast("int"))
+    x = hot_join(rows, count, key, "__n").withColumn("side", F.pmod(F.xxhash64(member, F.lit(5)), many).cast("int"))
     x = x.withColumn("__o", F.explode(F.sequence(F.lit(0), many - 1)))
     return x.withColumn("i", F.least("side", "__o")).withColumn("j", F.greatest("side", "__o")).drop("__n", "__o")
 
@@ -260,33 +260,36 @@ def near_duplicates(
     least = named.groupBy("comp").agg(F.min("rep").alias("first"))
     of = named.select("node", "comp").join(least, "comp").select(F.col("node").alias("set_key"), "first")
     info = classes.join(near, "set_key", "left").join(of, "set_key", "left").select("set_key", "rep", "docs", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("first", "rep").alias("first"))
-    alone = F.col("set_key").isNull()
-    return (
-        sig.select("doc_id", "tie", "set_key")
-        .join(info, "set_key", "left")
-        .select(
-            "doc_id",
-            "tie",
-            F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
-            F.when(alone, F.col("doc_id")).otherwise(F.col("rep.doc_id")).alias("copy_id"),
-            F.coalesce("docs", F.lit(1)).alias("n_copies"),
-            F.when(alone, F.lit(0)).otherwise(F.col("docs") - 1 + F.col("near")).cast("long").alias("n_links"),
-            (alone | ((F.col("first.tie") == F.col("tie")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")))).alias("is_first"),
-        )
+    info = materialize(info, "infos")
+    rows_ = sig.select("doc_id", "tie", "set_key")
+    in_class = hot_join(rows_.where("set_key is not null"), info, "set_key", "docs").select(
+        "doc_id",
+        "tie",
+        F.col("first.doc_id").alias("class_id"),
+        F.col("rep.doc_id").alias("copy_id"),
+        F.col("docs").alias("n_copies"),
+        (F.col("docs") - 1 + F.col("near")).cast("long").alias("n_links"),
+        ((F.col("first.tie") == F.col("tie")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))).alias("is_first"),
     )
+    own = F.col("doc_id")
+    alone = rows_.where("set_key is null").select("doc_id", "tie", own.alias("class_id"), own.alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_first"))
+    return in_class.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, without all but the first document of each near-duplicate group.
+    """The rows of docs, all columns whatever their names, without all but the first document of each near-duplicate
+    group.
 
-    Documents without words stay; rows repeated with the same id and text count as one.
+    Documents without words, null texts included, all stay; of rows repeated with the same id and text one stays; null
+    ids give way to others; an empty table gives no rows; options are those of near_duplicates.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    first = found.where("is_first").groupBy(F.col("doc_id").alias("__n_id"), F.coalesce("tie", F.lit(0)).alias("__n_tie")).agg(F.count("*").alias("__n_rows"), F.max(F.col("n_links")).alias("__n_links"))
-    both = docs.withColumn("__tie", F.xxhash64(F.col(text_col))).join(first, F.col(id_col).eqNullSafe(F.col("__n_id")) & (F.col("__tie") == F.col("__n_tie")))
-    own = (F.col("__n_rows") == 1) | (F.col("__n_links") == 0)
-    return both.where(own).unionByName(both.where(~own).dropDuplicates([id_col, "__tie"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = found.where("is_first").groupBy(F.col("doc_id").alias("first_id"), F.col("tie").alias("first_tie")).agg(F.count("*").alias("rows"), F.max("n_links").alias("links"))
+    both = boxed(docs, id_col, text_col).join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")))
+    own = (F.col("rows") == 1) | (F.col("links") == 0)
+    return both.where(own).unionByName(both.where(~own).dropDuplicates(["id", "tie"])).select("row.*")
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates of all documents, whose docstring defines every case."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_copies", "n_links")

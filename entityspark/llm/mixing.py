@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_rank, materialize, partitions, table
+from .common import boxed, global_rank, materialize, partitions, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3.0
@@ -150,15 +150,20 @@ def mix_sources(
 
 
 def take_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs with all their columns, each as often as the mix takes it."""
+    """The rows of docs with all their columns, whatever their names, each as often as the mix takes it.
+
+    Rows repeated with one id and text share their copies, and those are copies of one of them; null ids are told apart
+    by their texts; null and empty texts, of size 0, stay as often as the whole part of their source's rate; an empty
+    table gives no rows; options are those of mix_sources.
+    """
     mix = mix_sources(docs, id_col, source_col, text_col, **options)
-    mix = mix.groupBy(F.col("doc_id").alias("__m_id"), F.col("tie").alias("__m_tie")).agg(F.sum("copies").alias("__m_copies"), F.count("*").alias("__m_rows")).where("__m_copies > 0")
-    both = docs.withColumn("__tie", F.xxhash64(F.col(text_col))).join(mix, F.col(id_col).eqNullSafe(F.col("__m_id")) & (F.col("__tie") == F.col("__m_tie")))
-    one = both.where("__m_rows = 1")
-    many = both.where("__m_rows > 1").dropDuplicates([id_col, "__tie"])
-    return one.unionByName(many).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__m_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mix = mix.groupBy(F.col("doc_id").alias("mix_id"), F.col("tie").alias("mix_tie")).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    both = boxed(docs, id_col, text_col).join(mix, F.col("id").eqNullSafe(F.col("mix_id")) & (F.col("tie") == F.col("mix_tie")))
+    one, many = both.where(F.col("rows") == 1), both.where(F.col("rows") > 1).dropDuplicates(["id", "tie"])
+    return one.unionByName(many).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
+    """mix_sources of all documents, whose docstring defines every case."""
     out = mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -27,7 +27,7 @@ ROWS = 1024
 #: Share of index rows within the bound beyond which one product with all rows is cheaper than picking them.
 DENSE = 1 / 16
 #: Index rows and queries that meet at a time, and the candidates whose exact scores set a query's bound there.
-INDEX_BLOCK, QUERY_BLOCK, CANDIDATES = 65_536, 256, 128
+INDEX_BLOCK, QUERY_BLOCK, CANDIDATES = 65_536, 8192, 128
 
 
 @dataclass
@@ -159,7 +159,8 @@ def nearest(
 
     Null, zero and non-finite vectors, null ids and vectors of another length than most take no part on either side.
     Equal vectors are indexed once, with their k + 1 smallest ids, so that repeated rows of any number are all found
-    in order; a row repeated with its id counts once. Fewer rows than k give all. Empty tables give no rows.
+    in order; a row repeated with its id counts once, and an id with several vectors has them all: as a query they share
+    one list of k. Fewer rows than k give all. Empty tables give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     good = usable(vectors, id_col, vector_col).distinct()
@@ -173,7 +174,7 @@ def nearest(
     first = good.withColumn("at", F.row_number().over(Window.partitionBy("key", "v").orderBy("id"))).where(F.col("at") <= k + 1)
     index = materialize(first.groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
     n = index.count()
-    asked = materialize(usable(queries, id_col, vector_col).where(F.size("v") == width).distinct().select(F.col("id").alias("query_id"), F.col("v").alias("query")), "queries")
+    asked = materialize(usable(queries, id_col, vector_col).where(F.size("v") == width).distinct().select(F.xxhash64("id", "v").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("query")), "queries")
     n_asked = asked.count()
     if not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -193,11 +194,14 @@ def nearest(
                 rest = np.sqrt(((full - books_.decode(codes)) ** 2).sum(1)) * (1 + 1e-6)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(rest), part.column(1)], ["key", "block", "code", "rest", "v"])
 
-    blocks, rows = max(1, -(-n // index_block)), max(1, -(-n_asked // query_block))
+    # The index goes to as many places as there are blocks of queries: no more of them than their size asks for, and than
+    # keep all tasks busy.
+    blocks = max(1, -(-n // index_block))
+    rows = max(1, -(-n_asked // query_block), min(-(-n_asked // 256), -(-partitions(spark) // blocks)))
     coded = index.select("key", "v", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(blocks)).alias("block")).mapInArrow(encode, f"key long, block long, code binary, rest double, v {dict(index.dtypes)['v']}")
     index_rows = packed(coded, "block", {"key": "long", "code": "binary", "rest": "double", "v": "array"})
-    asked_in = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id", F.lit(4)), F.lit(rows)))
-    query_rows = packed(asked_in, "query_block", {"query_id": "long", "query": "array<float>"})
+    asked_in = asked.withColumn("query_block", F.pmod(F.xxhash64("q", F.lit(4)), F.lit(rows)))
+    query_rows = packed(asked_in, "query_block", {"q": "long", "query": "array<float>"})
     # Each block of the index meets each block of the stated queries once.
     pairs = index_rows.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<long>"))).repartition(max(partitions(spark), min(rows * blocks, 4 * partitions(spark))), "query_block", "block").join(query_rows, "query_block")
 
@@ -212,16 +216,16 @@ def nearest(
                     some = q[at : at + 32]
                     best = reaching(some, x, codes, rest, books_, k + 1, candidates)
                     guess = np.concatenate([np.add.accumulate(x[f] * v, 1)[:, -1] for f, v in zip(best, some)])  # in the order of the last score
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 32], list(map(len, best)))), pa.array(keys[np.concatenate(best)]), pa.array(guess)], ["query_id", "key", "guess"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 32], list(map(len, best)))), pa.array(keys[np.concatenate(best)]), pa.array(guess)], ["q", "key", "guess"])
 
-    found = pairs.select("keys", "codes", "rests", "vs", "query_ids", "querys").mapInArrow(search, "query_id long, key long, guess double")
+    found = pairs.select("keys", "codes", "rests", "vs", "qs", "querys").mapInArrow(search, "q long, key long, guess double")
     if blocks > 1:  # rank, not row_number: ties all stay, as their least ids decide
-        best = Window.partitionBy("query_id").orderBy(F.desc("guess"))
+        best = Window.partitionBy("q").orderBy(F.desc("guess"))
         found = found.withColumn("at", F.rank().over(best)).where(F.col("at") <= k + 1)
-    both = found.join(index, "key").join(asked, "query_id")
+    both = found.join(index, "key").join(asked, "q")
     score = F.aggregate(F.zip_with("query", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    ranked = both.select("query_id", "ids", score.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.element_at("ids", 1))
+    ranked = both.select("q", "query_id", "ids", score.alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.element_at("ids", 1))
     ranked = ranked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
     each = ranked.select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -229,6 +233,7 @@ def nearest(
 
 
 def op9_neighbours(spark, sf_dir: str) -> DataFrame:
+    """nearest to each row whose vec_id is divisible by 20 among all; its docstring defines every case."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 

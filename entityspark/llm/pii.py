@@ -26,7 +26,7 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CHAIN = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
 _DIGITS = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOGIN = re.compile(r"://[^\s/@:]{1,64}:([^\s/@]{1,128})@")
+_LOGIN = re.compile(r"://[^\s/@:]+:([^\s/@]+)@")
 _IBAN = re.compile(r"[\x20:#=.]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 _ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|number|num|id))?[\x20.:#=]{0,4}([0-9](?:[\x20-]?[0-9]){6,17})(?![0-9])", re.I)
 
@@ -42,9 +42,13 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _iban(text: str) -> bool:
-    s = text.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+def _iban(text: str) -> int:
+    """The end of the longest beginning of text that is an IBAN, or 0."""
+    for end in range(len(text), 14, -1):
+        s = text[:end].replace(" ", "")
+        if text[end - 1] != " " and 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
+            return end
+    return 0
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -95,8 +99,8 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int
             if m := _LOGIN.match(text, at):
                 out.append(("login", at + 3, m.end() - 1))
         elif mark == "i":
-            if (m := _IBAN.match(text, last + 1)) and _iban(m[1]):
-                out.append(("iban", m.start(1), m.end(1)))
+            if (m := _IBAN.match(text, last + 1)) and (end := _iban(m[1])):
+                out.append(("iban", m.start(1), m.start(1) + end))
         elif at >= account_end and last + 1 < n and (m := _ACCOUNT.match(text, last + 1)):
             account_end = m.end(1)
             out.append(("account", m.start(1), account_end))
@@ -124,4 +128,5 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
+    """scan_pii of all documents, whose docstring defines every case."""
     return span_digest(scan_pii(table(spark, sf_dir, "documents")), "doc_id", "spans", BASE)

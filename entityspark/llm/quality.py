@@ -1,9 +1,11 @@
 """Quality by co-training: a text view and a page view teach each other.
 
-The text view sees hashed words and the shapes of words; the page view sees the document's metadata (language, source,
-length) and its layout (lines, repeats, kinds of characters). Both start from labelled documents. In each round a view
-labels the documents of which it is surest among all that are unlabelled, in the labels' proportion, for the other view;
-then both are fitted again, on a bounded sample first and then corrected by gradient sums over all documents taught. Platt scaling on labelled documents calibrates the views, and their joint log-odds score every document.
+The text view sees the content: hashed words, the shapes of words and the layout (lines, repeats, kinds of characters).
+The page view sees the document's metadata alone: language, source, length, and how these go together. Both start from
+labelled documents. In each round a view labels the documents of which it is surest among all that are unlabelled, in the
+labels' proportion, for the other view; then both are fitted again, on a bounded sample first and then corrected by
+gradient sums over all documents taught. Platt scaling on labelled documents calibrates the views, and their joint log-odds
+score every document.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ LABELLED, UNLABELLED = 3000, 4000
 ROUNDS, SHARE = 4, 0.1
 #: Bins of log-odds, bins for each unit, values of a document's draw within a bin, pieces in which sums are added up.
 BINS, FINE, DRAWS, PIECES = 4096, 64, 1 << 20, 8
-BITS, PAGE_BITS, PAGE_NUMBERS = 14, 8, 14
+BITS, LAYOUT, PAGE_BITS, PAGE_NUMBERS = 14, 12, 10, 2
 _WORDS = 400_000
 _SHAPE = str.maketrans({**{c: "a" for c in "bcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "123456789"}})
 _RUN = re.compile(r"(.)\1+")
@@ -40,9 +42,10 @@ def _slot(text: str, bits: int) -> int:
 
 
 class TextView:
-    """Sparse rows of two hashes a distinct word, its form and its shape, with weights log(1 + count), length 1."""
+    """Rows of two hashes a distinct word, its form and its shape, with weights log(1 + count) scaled to length 1, and
+    numbers of the layout."""
 
-    size = 1 << BITS
+    size = (1 << BITS) + LAYOUT
 
     def __init__(self):
         self.known: dict[str, tuple[int, int]] = {}
@@ -53,36 +56,29 @@ class TextView:
             if len(self.known) > _WORDS:
                 self.known.clear()
             shape = _RUN.sub(r"\1", word.translate(_SHAPE))
-            got = self.known[word] = (_slot("w" + word.lower(), BITS), _slot("s" + shape[:24], BITS))
+            got = self.known[word] = (_slot("w" + word.lower(), BITS), _slot("s" + shape, BITS))
         return got
 
-    def row(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def row(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        counts = Counter(text.split())
         total: Counter = Counter()
         for w, c in counts.items():
             a, b = self.slots(w)
             total[a] += c
             total[b] += c
-        if not total:
-            return np.zeros(0, int), np.zeros(0)
         at = np.fromiter(total.keys(), int, len(total))
         x = np.log1p(np.fromiter(total.values(), float, len(total)))
-        return at, x / np.sqrt((x**2).sum())
+        x /= np.sqrt((x**2).sum()) if len(x) else 1.0
+        return np.concatenate([at, np.arange(1 << BITS, self.size)]), np.concatenate([x, self.layout(text, counts)])
 
-
-class PageView:
-    """Dense rows: numbers of the layout, and one hashed slot each for language and source."""
-
-    size = PAGE_NUMBERS + (1 << PAGE_BITS)
-
-    def row(self, text: str, counts: Counter, lang: str | None, source: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def layout(text: str, counts: Counter) -> list[float]:
         n, words = len(text), sum(counts.values())
         lines = text.split("\n")
         letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
         upper = len(re.findall(r"[A-Z]", text))
         marks = len(re.findall(r"[^\w\s]", text))
-        numbers = [
-            1.0,
-            math.log1p(n_chars if n_chars is not None and n_chars >= 0 else n) / 10,
+        return [
             math.log1p(words) / 10,
             math.log1p(len(lines)) / 10,
             len(set(lines)) / len(lines),
@@ -96,8 +92,20 @@ class PageView:
             min(1.0, text.count("|") / words * 2) if words else 0.0,
             min(1.0, max(map(len, lines)) / 1000),
         ]
-        slots = [PAGE_NUMBERS + _slot(f"{k}{v}", PAGE_BITS) for k, v in (("l", lang), ("s", source))]
-        return np.array([*range(PAGE_NUMBERS), *slots]), np.array([*numbers, 0.3, 0.3])
+
+
+class PageView:
+    """Rows of metadata: 1, the length, and a hashed slot each for language, source, the length's power of two, and the
+    pairs of these."""
+
+    size = PAGE_NUMBERS + (1 << PAGE_BITS)
+
+    def row(self, lang: str | None, source: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
+        known = n_chars is not None and n_chars >= 0
+        facts = [f"l{lang}", f"s{source}", f"n{n_chars.bit_length() if known else None}"]
+        pairs = [f"{a} {b}" for i, a in enumerate(facts) for b in facts[i + 1 :]]
+        slots = [PAGE_NUMBERS + _slot(x, PAGE_BITS) for x in facts + pairs]
+        return np.array([*range(PAGE_NUMBERS), *slots]), np.array([1.0, math.log1p(n_chars) / 10 if known else 0.0, *[0.3] * len(slots)])
 
 
 @dataclass
@@ -276,10 +284,8 @@ class Views:
         """The rows of both views for (text, lang, source, n_chars)."""
         a, b = [], []
         for text, lang, source, n_chars in docs:
-            text = text or ""
-            counts = Counter(text.split())
-            a.append(self.text.row(counts))
-            b.append(self.page.row(text, counts, lang, source, n_chars))
+            a.append(self.text.row(text or ""))
+            b.append(self.page.row(lang, source, n_chars))
         return a, b
 
 
@@ -377,16 +383,19 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", n_chars_col: str = "n_chars", n_labelled: int = LABELLED, n_unlabelled: int = UNLABELLED, made: DataFrame | None = None
 ) -> Model:
     """Fit on up to n_labelled documents of each label and on all without one; ids labelled twice count by their least
-    label. The driver holds n_unlabelled of the others; the rest take part by sums. made is features(docs), if at hand."""
+    label. The driver holds n_unlabelled of the others, one row of each id; the rest take part by sums. Null ids and
+    labels teach nothing; without labels of both kinds the score is the label there is, or 0. made is features(docs), if
+    at hand."""
     mine = train_rows(labels, id_col).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("y"))
     pick = lambda y: mine.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n_labelled)
     chosen = pick(1).union(pick(0))
     free = docs.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).orderBy(F.xxhash64("__id", F.lit(1)), "__id").limit(n_unlabelled).withColumn("y", F.lit(-1))
     ids = chosen.union(free.join(F.broadcast(chosen.select("__id")), "__id", "left_anti"))
     src = docs.select(F.col(id_col).alias("__id"), *_columns(docs, text_col, lang_col, source_col, n_chars_col))
-    rows = src.join(F.broadcast(ids), "__id").where((F.col("y") >= 0) | (F.crc32(F.col("__id").cast("string").cast("binary")) % 5 != 0)).collect()
-    rows.sort(key=lambda r: (r["__id"], r["text"] or ""))
-    of = lambda r: (r["text"], r["lang"], r["source"], r["n_chars"])
+    mine = src.join(F.broadcast(ids), "__id").where((F.col("y") >= 0) | (F.crc32(F.col("__id").cast("string").cast("binary")) % 5 != 0))
+    rows = mine.groupBy("__id", "y").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).collect()
+    rows.sort(key=lambda r: r["__id"])
+    of = lambda r: tuple(r["r"])
     known = [r for r in rows if r["y"] >= 0]
     if made is None:
         made = materialize(features(docs, id_col, text_col, lang_col, source_col, n_chars_col), "features")
@@ -396,7 +405,7 @@ def fit_quality(
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", n_chars_col: str = "n_chars", made: DataFrame | None = None) -> DataFrame:
     """(doc_id, score, text_score, page_score) for every row: the chances of label 1 by both views and by each.
 
-    A null text counts as empty; null metadata has slots of its own and a null n_chars counts as the text's length;
+    A null text counts as empty; null metadata has slots of its own, and a negative n_chars counts as null;
     whole texts are seen; repeated rows score alike; an empty table gives no rows; other columns are ignored. made is
     features(docs), if at hand.
     """
@@ -417,6 +426,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """score_quality of all documents by labels that may be learnt from; its docstring defines every case."""
     docs = table(spark, sf_dir, "documents")
     made = materialize(features(docs), "features")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"), made=made), made=made)

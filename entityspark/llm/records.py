@@ -299,12 +299,14 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Returns the manifest (part, seq, shard, n_docs, n_tokens, bytes, start): shards in the order (part, seq), start
     being the ids before the shard. A null text counts as empty and has only the end id; null ids come first; equal
-    ids are ordered by a hash of the text; an empty table gives no shard; other columns are ignored. path must be on
+    ids are ordered by a hash of the text; ids that are no whole numbers fail in the cast; an empty table gives no shard; other columns are ignored. path must be on
     a store that driver and executors share. Only shards of the manifest count: lost attempts may leave others.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    # Rows with one id and text give the same record, so any number of them may be dealt over ranges.
+    rows = rows.withColumn("spread", F.monotonically_increasing_id())
+    order = [F.col("id").asc_nulls_first(), F.col("tie"), F.col("spread")]
     ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("id", "text")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,9 +351,15 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
 
 def encode_corpus(docs: DataFrame, make_path: Callable[[], str] | None = None, **options) -> DataFrame:
+    """read_records of write_records(docs), to a folder of make_path or of the shared scratch folder.
+
+    Null and empty texts have the end id alone; repeated rows have a record each; ids must be whole numbers or null; an
+    empty table gives no rows; options are those of write_records.
+    """
     path = make_path() if make_path else scratch_path(docs.sparkSession, "records")
     return read_records(write_records(docs, path, **options))
 
 
 def op5_token_records(spark, sf_dir: str) -> DataFrame:
+    """encode_corpus of all documents, whose docstring defines every case."""
     return encode_corpus(table(spark, sf_dir, "documents"))

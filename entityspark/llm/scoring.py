@@ -354,8 +354,9 @@ def score_blocks(blocks: DataFrame, places: DataFrame, vocabulary: Vocabulary, n
         vocab, flat = shared.value
         model = Network(flat)
         for b in batches:
-            for ids, lengths, codes, forms, keys, at, n in zip(*b.columns):
-                lengths, codes, keys = _numbers(lengths, np.int64), _numbers(codes, np.int32), keys.values.to_numpy()
+            for ids, lengths, codes, forms, at, n in zip(*b.columns):
+                lengths, codes = _numbers(lengths, np.int64), _numbers(codes, np.int32)
+                keys = form_keys(forms.values)  # cheaper than to move them
                 inside, alone = np.zeros(len(keys)), np.zeros(len(keys), bool)
                 at, n = _numbers(at, np.int32), _numbers(n, np.int64)
                 inside[at], alone[at] = vocab.within(forms.values.take(pa.array(at)), n), n == 1
@@ -372,7 +373,7 @@ def score_blocks(blocks: DataFrame, places: DataFrame, vocabulary: Vocabulary, n
         n, key = vocabulary.last
         rare = places.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("key") > key)))
     numbers = packed(rare.select("block", "at", "n"), "block", {"at": "int", "n": "long"})
-    both = blocks.join(numbers, "block", "left").select("ids", "lengths", "codes", "forms", "keys", "ats", "ns")
+    both = blocks.select("block", "ids", "lengths", "codes", "forms").join(numbers, "block", "left").select("ids", "lengths", "codes", "forms", "ats", "ns")
     return both.mapInArrow(run, f"doc_id {kind}, n_words long, n_alone long, log_prob double, mean_log_prob double")
 
 

@@ -32,23 +32,21 @@ class EntropyClass:
     bits: float
 
 
-#: Tried in this order: a candidate belongs to the first class that has all its characters.
+#: Tried in this order: a candidate belongs to the first class that has all its characters and a window it fills.
 CLASSES = (
     EntropyClass("0123456789abcdef", 20, 3.0),
     EntropyClass("0123456789ABCDEF", 20, 3.0),
     EntropyClass("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 24, 3.9),
+    EntropyClass("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 20, 3.8),
 )
 #: Candidates: whole runs of 20 or more with a digit and a letter. The lookbehind keeps long runs linear.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
 #: A document without a match of this holds no span of any kind.
 GATE = rf"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{{16}}|{CANDIDATE}"
-#: A candidate that matches one of these isn't reported by its entropy: UUIDs, placeholders, alphabets, paths.
-ALLOW = (
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|xxxx",
-    r"(?i)0123456789|abcdefghijkl",
-    r"^/?([a-z]+/){2,}",
-)
+#: A candidate that matches one of these as a whole isn't reported by its entropy: UUIDs, paths.
+ALLOW = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^/?([a-z]+/){2,}[a-z0-9_-]{0,19}$")
+#: Placeholders and alphabets are part of no candidate, in either case; what stands beside them still is.
+ALLOW_WORDS = ("example", "placeholder", "changeme", "xxxx", "0123456789", "abcdefghijkl")
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -106,24 +104,26 @@ def _dense(found: Column, cls: EntropyClass) -> Column:
     return F.aggregate(moves, zero, step, lambda acc: F.when(acc["b"] >= 0, F.concat(acc["out"], span(acc["a"], acc["b"]))).otherwise(acc["out"]))
 
 
-def _entropy(text: Column, classes: tuple[EntropyClass, ...], allow: tuple[str, ...]) -> Column:
+def _entropy(text: Column, classes: tuple[EntropyClass, ...], allow: tuple[str, ...], words: tuple[str, ...]) -> Column:
+    for w in words:
+        text = F.regexp_replace(text, f"(?i){w}", " " * len(w))
     found = F.filter(_found(text, CANDIDATE), lambda m: ~F.greatest(F.lit(False), F.lit(False), *[m["s"].rlike(p) for p in allow]))
 
     def one(m: Column) -> Column:
         out = F.array().cast(SPANS)
         for cls in reversed(classes):
             inside = "^[" + "".join("\\" + c if c in "+/_-" else c for c in cls.alphabet) + "]*$"
-            out = F.when(m["s"].rlike(inside), _dense(m, cls)).otherwise(out)
+            out = F.when((F.length(m["s"]) >= cls.window) & m["s"].rlike(inside), _dense(m, cls)).otherwise(out)
         return out
 
     return F.flatten(F.transform(found, one))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: tuple[EntropyClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: tuple[EntropyClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, words: tuple[str, ...] = ALLOW_WORDS) -> DataFrame:
     """(id_col, spans): spans array<struct<kind, start, end>> in code points, end exclusive, by start and then kind.
 
     Kinds assign, access and hex are the base patterns; kind entropy adds stretches of high entropy that no base
-    span contains. A null text counts as empty and has no spans; an empty table gives no rows; repeated rows each
+    span contains; candidates that match `allow`, and `words` inside them, are left out. A null text counts as empty and has no spans; an empty table gives no rows; repeated rows each
     give theirs; texts of any length are scanned whole; other columns of docs are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -133,7 +133,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = _found(text, HEX.replace("+", "{16,}"))
     base = F.concat(_spans(assign, "assign"), _spans(access, "access"), _spans(runs, "hex"))
     gated = lambda x: F.when(text.rlike(GATE), x).otherwise(F.array().cast(SPANS))
-    out = docs.select(F.col(id_col).alias("id"), gated(base).alias("base"), gated(_entropy(text, classes, allow)).alias("more"))
+    out = docs.select(F.col(id_col).alias("id"), gated(base).alias("base"), gated(_entropy(text, classes, allow, words)).alias("more"))
     new = F.filter("more", lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     keyed = F.transform(F.concat("base", new), lambda s: F.struct(s["start"], F.array_position(kinds, s["kind"]).alias("r"), s["kind"], s["end"]))
@@ -141,4 +141,5 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """scan_secrets of all documents, whose docstring defines every case."""
     return span_digest(scan_secrets(table(spark, sf_dir, "documents")), "doc_id", "spans", BASE)

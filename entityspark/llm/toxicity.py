@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import WORD, table
 
@@ -31,9 +32,9 @@ SEGMENT = 64
 #: A word counts as toxic in training if some part of it is so many times likelier in toxic documents, and so surely
 #: that chance would give less than one such part among all.
 RATIO = 10.0
-FLOOR = 0.1
-#: Of each label and part of the sample; with fewer, the sample isn't parted.
-FEW = 40
+#: Parameters of fit: chances below the first count as 0 in a document's sum and mean, and with fewer documents of a label
+#: in a part of the sample than the second, the sample isn't parted.
+FLOOR, FEW = 0.1, 40
 _TOKENS, _WORDS = 2_000_000, 400_000
 
 
@@ -44,7 +45,8 @@ def features(word: str) -> list[int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Words as the pattern finds them in the text as it is, so that words and offsets agree, each in lower case."""
+    return [w.lower() for w in WORD.findall(text or "")]
 
 
 @dataclass
@@ -52,6 +54,7 @@ class Field:
     weights: np.ndarray  # of the features, label 1 against 0
     moves: np.ndarray  # 2 x 2, exp of the transition weights, from row to column
     doc: np.ndarray  # of the document's bias, log1p(sum), maximum, density
+    floor: float = FLOOR
 
     def odds(self, word: str) -> float:
         return float(np.exp(np.clip(self.weights[features(word)].sum(), -30, 30)))
@@ -100,17 +103,17 @@ def expected_moves(r: np.ndarray, forward: np.ndarray, backward: np.ndarray, beg
     return (cells / cells.sum((0, 1))).sum(2)
 
 
-def document_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def document_features(p: np.ndarray, lengths: np.ndarray, floor: float = FLOOR) -> np.ndarray:
     """Rows (1, log1p(sum), maximum, mean) of p for each document, zeros after the 1 for empty ones.
 
-    Chances under FLOOR count as 0 in the sum and mean: a long clean text has very many of them.
+    Chances under floor count as 0 in the sum and mean: a long clean text has very many of them.
     """
     out = np.zeros((len(lengths), 4))
     out[:, 0] = 1
     full = np.flatnonzero(lengths)
     if len(full):
         starts = (np.cumsum(lengths) - lengths)[full]
-        total = np.add.reduceat(np.where(p >= FLOOR, p, 0.0), starts)
+        total = np.add.reduceat(np.where(p >= floor, p, 0.0), starts)
         out[full, 1], out[full, 2], out[full, 3] = np.log1p(total), np.maximum.reduceat(p, starts), total / lengths[full]
     return out
 
@@ -164,16 +167,18 @@ def distinct_texts(docs: list[np.ndarray]) -> np.ndarray:
     return np.array(keep, int)
 
 
-def fit(texts: list[str | None], labels: Iterable[int], prior: float | None = None, steps: int = 80, rate: float = 0.15, l2: float = 1e-4) -> Field:
+def fit(texts: Iterable[str | None], labels: Iterable[int], prior: float | None = None, steps: int = 80, rate: float = 0.15, l2: float = 1e-4, floor: float = FLOOR, few: int = FEW) -> Field:
     """Maximum conditional likelihood of the word labels by full gradient steps (Adam), then the document's logistic.
 
     The logistic learns from every third document, scored by a field that the others taught, and so sees chances of
-    unseen texts; the field is then taught by all. With few documents all do both. prior: the part of toxic documents beyond the sample, if it isn't the sample's.
+    unseen texts; the field is then taught by all. With less than `few` documents of a label in either part, all do both.
+    Chances under `floor` count as 0 in documents. prior: the part of toxic documents beyond the sample, if it isn't the
+    sample's.
     """
     y = np.asarray(list(labels), int)
     if not len(y) or y.min() == y.max():  # nothing to tell apart: the score is the label, or 0
         odds = 4.0 if len(y) and y.max() else -4.0
-        return Field(np.zeros(1 << BITS), np.ones((2, 2)), np.array([odds, 0, 0, 0]))
+        return Field(np.zeros(1 << BITS), np.ones((2, 2)), np.array([odds, 0, 0, 0]), floor)
     index: dict[str, int] = {}
     ids = []
     for t in texts:  # a text's words are numbers from here on; each distinct word is held once
@@ -188,19 +193,19 @@ def fit(texts: list[str | None], labels: Iterable[int], prior: float | None = No
     if y.min() == y.max():
         return fit([], y[:1])
     teach = np.arange(len(y)) % 3 != 2
-    if min((y[part] == k).sum() for k in (0, 1) for part in (teach, ~teach)) < FEW:
+    if min((y[part] == k).sum() for k in (0, 1) for part in (teach, ~teach)) < few:
         teach[:] = True
     check = ~teach if not teach.all() else teach
     w, m = _train([ids[i] for i in np.flatnonzero(teach)], table_, y[teach], steps, rate, l2)
     tested, y_tested = [ids[i] for i in np.flatnonzero(check)], y[check]
     flat, lengths = np.concatenate(tested), np.array(list(map(len, tested)))
     r = np.exp(np.clip(w[table_].sum(1), -30, 30))[flat]
-    doc = logistic(document_features(marginals(r, lengths, m), lengths), y_tested)
+    doc = logistic(document_features(marginals(r, lengths, m), lengths, floor), y_tested)
     if prior is not None and 0 < prior < 1:
         doc[0] += np.log(prior / (1 - prior)) - np.log(y_tested.mean() / (1 - y_tested.mean()))
     if not teach.all():
         w, m = _train(ids, table_, y, steps, rate, l2)
-    return Field(w, m, doc)
+    return Field(w, m, doc, floor)
 
 
 def _train(ids: list[np.ndarray], table_: np.ndarray, y: np.ndarray, steps: int, rate: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +247,7 @@ class _Odds(dict):
     def __missing__(self, word: str) -> float:
         if len(self) > _WORDS:
             self.clear()
-        self[word] = o = self.field.odds(word)
+        self[word] = o = self.field.odds(word.lower())
         return o
 
 
@@ -256,10 +261,10 @@ class Tagger:
         return np.fromiter(map(self.known.__getitem__, words), float, len(words))
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
-        r = [self.odds(words_of(t)) for t in texts]
+        r = [self.odds(WORD.findall(t or "")) for t in texts]
         lengths = np.array(list(map(len, r)), int)
         p = marginals(np.concatenate(r), lengths, self.field.moves)
-        score = 1 / (1 + np.exp(-np.clip(document_features(p, lengths) @ self.field.doc, -30, 30)))
+        score = 1 / (1 + np.exp(-np.clip(document_features(p, lengths, self.field.floor) @ self.field.doc, -30, 30)))
         spans, start = [], 0
         for t, n in zip(texts, lengths.tolist()):
             spans.append(self.spans(t, p[start : start + n]) if n and p[start : start + n].max() >= 0.5 else [])
@@ -270,8 +275,6 @@ class Tagger:
         """Runs of words with a chance of 0.5 or more, in code points of the text."""
         out, before = [], -2
         spots = [m.span() for m in re.finditer(WORD, text)]
-        if len(spots) != len(p):  # lower case changed the words' number: no offsets
-            return []
         for i in np.flatnonzero(p >= 0.5).tolist():
             if i == before + 1:
                 out[-1]["end"], out[-1]["p"] = spots[i][1], max(out[-1]["p"], float(p[i]))
@@ -286,15 +289,19 @@ def train_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Field:
-    """Fit on up to `sample` labelled documents of each label; ids labelled more than once count as toxic if once so."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, floor: float = FLOOR, few: int = FEW) -> Field:
+    """Fit on up to `sample` labelled documents of each label; ids labelled more than once count as toxic if once so.
+
+    Rows of one id teach as one, by their least text, so the driver holds 2 * sample texts at most; null ids and labels
+    teach nothing; without labels of both kinds the score is the label there is, or 0. floor and few are those of fit.
+    """
     mine = train_rows(labels, id_col).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).alias("y"))
     pick = lambda y: mine.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     chosen = pick(1).union(pick(0))  # 2 * sample rows at most
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("__id", "text", "y").collect()
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id").groupBy("__id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["__id"], r["text"] or ""))
     n = {int(r["y"]): r["n"] for r in mine.groupBy("y").agg(F.count("*").alias("n")).collect() if r["y"] in (0, 1)}
-    return fit([r["text"] for r in rows], [int(r["y"]) for r in rows], n.get(1, 0) / max(1, sum(n.values())))
+    return fit([r["text"] for r in rows], [int(r["y"]) for r in rows], n.get(1, 0) / max(1, sum(n.values())), floor=floor, few=few)
 
 
 def score_toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,7 +330,12 @@ def score_toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_c
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of docs, all columns, with a score under the threshold; scored in one pass, without a join."""
+    """The rows of docs, all columns whatever their names, with a score under the threshold; scored in one pass, without
+    a join.
+
+    Null and empty texts have the score of no evidence; null ids and repeated rows are scored by their texts; a text of
+    any length is scored whole; an empty table gives no rows; options are those of fit_toxicity.
+    """
     field = fit_toxicity(docs, labels, id_col, text_col, **options)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
@@ -332,20 +344,21 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = b.column(b.num_columns - 1)
+            texts = b.column(1)
             lengths = np.cumsum([len(t.as_py() or "") for t in texts])
             group = lengths // (5 * _TOKENS)
             keep = []
             for g in np.unique(group):
                 score, _ = tagger.score([texts[int(i)].as_py() for i in np.flatnonzero(group == g)])
                 keep.append(score < threshold)
-            yield b.select(range(b.num_columns - 1)).filter(pa.array(np.concatenate(keep)))
+            yield b.select([0]).filter(pa.array(np.concatenate(keep)))
 
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*cols, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, docs.schema)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, F.col(text_col).cast("string").alias("text")).mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """score_toxicity of all documents by labels that may be learnt from; its docstring defines every case."""
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return scored.select(

@@ -4,6 +4,7 @@ import random
 import re
 
 from entityspark.llm import jaccard
+from entityspark.llm.common import components
 from entityspark.llm.shingles import choose_bands
 
 
@@ -67,3 +68,60 @@ def test_repeats_and_empty(spark):
 def test_bands():
     bands, rows = choose_bands(0.8, 0.9995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 128
+
+
+def test_odd_rows(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, words, "a", 1, 1), (1, words + "!", "b", 2, 1), (2, "quite another text with words of its own", "c", 3, 1), (None, words, "d", 4, 1), (7, None, "e", 5, 1), (7, None, "f", 6, 1), (None, "", "g", 7, 1), (None, None, "h", 8, 1), (2, "quite another text with words of its own", "c", 3, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__tie` string, `__n_id` int, `first.id` int")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    want = [rows[1], rows[2], *rows[4:8]]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+    assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
+def test_hot_classes(spark):
+    """A third of all rows are one text, and as many have no words: every row comes out once, with whole counts."""
+    rows = [(i, "the same long passage that a great many documents share word for word") for i in range(1500)] + [(i, "") for i in range(1500, 3000)] + [(i, f"text {i} stands alone with its number {i} and nothing else {i}") for i in range(3000, 4500)]
+    got = {r["doc_id"]: r for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 4500
+    assert all(got[i]["class_id"] == 0 and got[i]["n_copies"] == 1500 and got[i]["n_links"] == 1499 for i in range(1500))
+    assert all(got[i]["class_id"] == i and got[i]["n_links"] == 0 for i in range(1500, 4500))
+
+
+def test_recall_at_the_threshold(spark):
+    """The whole path, banding and the filter on signatures, on pairs whose similarity is only just enough."""
+    rng = random.Random(12)
+    docs, close = [], 0
+    for k in range(0, 1600, 2):
+        text = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(100)]
+        other = text[:]
+        for at in (12, 88)[: 1 + k % 4 // 2]:
+            other[at] = "new"
+        docs += [(k, " ".join(text)), (k + 1, " ".join(other))]
+    links = [len(sets_of(a[1]) & sets_of(b[1])) / len(sets_of(a[1]) | sets_of(b[1])) for a, b in zip(docs[::2], docs[1::2])]
+    assert min(links) >= 0.8 and sum(x < 0.83 for x in links) == 400
+    got = {r["doc_id"]: r["class_id"] for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    close = sum(got[k + 1] == k for k in range(0, 1600, 2))
+    assert close >= 0.999 * 800
+
+
+def test_components_with_hubs(spark):
+    rng = random.Random(2)
+    edges = [(0, i) for i in range(1, 800)] + [(5000, i) for i in range(1000, 1400)] + [(2000 + i, 2001 + i) for i in range(60)] + [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(300)] + [(7, 7), (3, 900)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    want = sorted((x, root(x)) for x in list(up))
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (10**9, 0):
+        assert sorted(tuple(r) for r in components(df, "c", few=few).collect()) == want

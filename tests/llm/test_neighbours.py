@@ -1,5 +1,6 @@
 """Recall against brute force, ties, copies and unusable vectors."""
 
+import duckdb
 import numpy as np
 
 from entityspark.llm import neighbours as nn
@@ -12,15 +13,14 @@ def brute(rows, k=20):
     out = {}
     for q, v in good:
         if q % 20 == 0:
-            s = []
+            s = out.setdefault(q, [])
             for i, w in good:
                 if i != q:
                     total = 0.0
                     for a, b in zip(v, w):
                         total += a * b
                     s.append((-total, i))
-            out[q] = sorted(s)[:k]
-    return out
+    return {q: sorted(s)[:k] for q, s in out.items()}
 
 
 def test_small(spark):
@@ -40,6 +40,24 @@ def test_small(spark):
     assert [(r["query_id"], r["rank"]) for r in nn.nearest(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1), (0, 2)]
 
 
+def test_an_id_with_several_vectors(spark):
+    """Such a query has one list over the pairs of all its vectors, as the SQL has it."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 3.0]), (20, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [2.0, 0.5]), (3, [0.5, 2.0]), (3, [4.0, 4.0]), (40, [1.0, 2.0])]
+    df = spark.createDataFrame([(i, v, 0.5, 1) for i, v in rows], SCHEMA)
+    for k in (2, 4, 20):
+        got = {}
+        for r in nn.nearest(df, df.where("vec_id % 20 = 0"), k=k, words=4).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+        assert got == brute(rows, k)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    sql = {}
+    for q, rank, i, score in sorted(con.execute("SELECT query_id, rank, vec_id, score FROM (" + nn.ORACLE + ")").fetchall()):
+        sql.setdefault(q, []).append((-score, i))
+    assert sql == brute(rows)
+
+
 def test_recall(spark):
     sf = "/root/testdata/sf0.1"
     df = spark.read.parquet(f"{sf}/embeddings.parquet")

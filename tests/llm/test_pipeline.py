@@ -7,8 +7,8 @@ import numpy as np
 import corpus_pipeline as c
 from entityspark.llm import records
 from entityspark.llm.common import materialize, table
-from entityspark.llm.jaccard import near_duplicates
-from entityspark.llm.toxicity import op7_toxicity
+
+from .test_jaccard import brute
 
 
 def test_stages(spark, sf):
@@ -21,10 +21,13 @@ def test_stages(spark, sf):
             assert docs.columns == columns and docs.dtypes == inputs[name].dtypes
     ids = lambda df: [r["doc_id"] for r in df.select("doc_id").collect()]
     start, after = set(ids(inputs["toxicity"])), set(ids(inputs["near_duplicates"]))
-    rejected = {r["doc_id"] for r in op7_toxicity(spark, sf).where("predicted = 1").collect()}
-    assert rejected and after == start - rejected
-    kept = {r["doc_id"] for r in near_duplicates(inputs["near_duplicates"]).where("doc_id = class_id").collect()}
-    assert set(ids(inputs["decontamination"])) == kept
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, sf, "labels").collect()}
+    toxic, clean = ({i for i in start if labels.get(i) == k} for k in (1, 0))
+    # There are 45 toxic documents to learn from here; test_toxicity holds the stage to more on a larger table.
+    assert after <= start and len(toxic & after) <= 0.4 * len(toxic) and len(clean & after) >= 0.99 * len(clean)
+    assert len(start - after) <= 0.1 * len(start)
+    rows = [(r["doc_id"], r["text"]) for r in inputs["near_duplicates"].select("doc_id", "text").collect()]
+    assert set(ids(inputs["decontamination"])) == {first for _, first, _ in brute(rows)}
     texts = [r["text"] for r in inputs["decontamination"].collect()]
     assert len(texts) == len(set(texts))
     items = [r["text"] for r in table(spark, sf, "benchmark").collect()]
@@ -44,6 +47,30 @@ def test_stages(spark, sf):
         assert len(data) == 4 * n and zlib.crc32(data) == crc
 
 
+def test_odd_tables(spark, sf, tmp_path):
+    """Nulls, repeated rows and columns with helpers' names through every stage; and empty tables."""
+    item = table(spark, sf, "benchmark").orderBy("item_id").first()["text"]
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, words(i), "en", "ab"[i % 2], 70, i) for i in range(40)]
+    rows += [(None, words(90), None, None, None, 90), (None, words(91), "en", "a", 1, 91), (50, None, "en", "a", 0, 92), (51, "", "en", "b", 0, 93), (52, f"x {item} y", "en", "a", 9, 94)] + [(60, words(60), "en", "a", 70, 95)] * 4
+    names = ["row", "id", "tie", "__k", "copies", "bad_id", "first_id", "rows", "links"]
+    df = spark.createDataFrame([(*r[:5], *[r[5]] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for name, docs in (("odd", df), ("empty", df.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            table(spark, sf, t).write.parquet(f"{folder}/{t}.parquet")
+        docs, columns = table(spark, folder, "documents"), df.columns
+        for stage, step in c.STAGES[:-1]:
+            docs = materialize(step(spark, docs, folder), stage)
+            assert docs.columns == columns
+            got = docs.collect()
+            assert all(len({r[n] for n in names}) == 1 for r in got)
+            if name == "odd" and stage == "decontamination":
+                assert sorted(r["row"] for r in got) == sorted([*range(40), 90, 91, 92, 93, 95])
+        assert c.run(spark, folder).count() == (len(got) if name == "odd" else 0)
+
+
 def test_registered():
     import __spark_entry__ as e
 

@@ -106,13 +106,46 @@ def test_mix(spark):
 
 
 def test_mix_is_unbiased(spark):
-    rows = [(i, s, "w " * (1 + i % 7)) for i in range(400) for s in "ab"]
+    """Over many draws a document's mean number of copies is its rate, whatever its size."""
+    rows = [(1000 * run + i, f"{run:03}{s}", "w " * (1 + i % 7)) for run in range(60) for i in range(40) for s in "ab"]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = mixing.mix_sources(df, bucket=16, fan_in=3).collect()
-    rate = {r["source_size"]: r["target"] / r["source_size"] for r in got}
+    by_size = {}
     for r in got:
-        assert r["copies"] in (int(r["target"] / r["source_size"]), int(r["target"] / r["source_size"]) + 1)
-    assert rate
+        rate = r["target"] / r["source_size"]
+        assert r["copies"] in (int(rate), int(rate) + 1)
+        by_size.setdefault(r["size"], []).append(r["copies"] - rate)
+    for errors in by_size.values():
+        assert len(errors) > 600 and abs(np.mean(errors)) < 4 * 0.5 / np.sqrt(len(errors))
+
+
+def test_copies_of_odd_rows(spark):
+    words = "w " * 6
+    rows = [(i, "ab"[i % 2], words, i, 0.5, "x") for i in range(40)] + [(None, None, words + "n", 100, 0.5, "x"), (None, "a", words + "m", 101, 0.5, "x"), (50, "a", None, 102, 0.5, "x"), (51, "b", "", 103, 0.5, "x")] + [(60, "a", words + "r", 104, 0.5, "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, `__k` int, `__tie` double, `copies.x` string")
+    taken = mixing.take_copies(df)
+    assert taken.columns == df.columns
+    count = {}
+    for r in taken.collect():
+        count[tuple(r)] = count.get(tuple(r), 0) + 1
+    assert set(count) <= set(rows)
+    want = {}
+    for r in mixing.mix_sources(df).collect():
+        want[r["doc_id"], r["size"]] = want.get((r["doc_id"], r["size"]), 0) + r["copies"]
+    for row, n in count.items():
+        if row[0] is not None:
+            assert n == want[row[0], len((row[2] or "").split())]
+    assert sum(count.values()) == sum(want.values())
+    assert mixing.take_copies(df.limit(0)).count() == 0
+
+
+def test_equal_rows_are_dealt(spark, tmp_path):
+    """Copies of one id and text may go to any shard: the records are the same, and the order of ids holds."""
+    rows = [(5, "the same text")] * 3000 + [(i, f"text {i}") for i in (1, 2, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    manifest = records.write_records(df, f"file://{tmp_path}/q")
+    assert sorted(tuple(r) for r in records.read_records(manifest).collect()) == sorted(expected(sorted(rows)))
+    assert max(r["n_docs"] for r in manifest.collect()) < 2000
 
 
 def test_mix_of_real_rows(spark, sf):

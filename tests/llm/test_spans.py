@@ -1,6 +1,7 @@
 """Secrets and personal data against the patterns run by re over whole texts."""
 
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -108,7 +109,43 @@ def entropy_spans(t, cls):
 
 
 def test_entropy_windows(spark):
-    cls = secrets.CLASSES[2]
-    t = "Zx81kQp0+Lm3/Vt7wRb2Ye9Hs5Nd4Jc6" + "aA1" * 30 + "Qw3rTy7uIo9pAs2dFg4hJk6lZx8cVb0nM"
-    rows = secrets.scan_secrets(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()["spans"]
-    assert [[s["start"], s["end"]] for s in rows] == entropy_spans(t, cls) and len(rows) == 2
+    """Every class, short candidates too: stretches as brute force has them, from runs that differ in density."""
+    rng = random.Random(8)
+    texts = []
+    for cls in secrets.CLASSES:
+        for _ in range(12):
+            runs = ["".join(rng.choice(cls.alphabet) for _ in range(rng.choice([5, 21, 30, 45]))) + "".join(rng.choice(cls.alphabet[:3]) for _ in range(rng.choice([0, 30]))) for _ in range(3)]
+            texts.append("".join(runs)[: rng.choice([20, 22, 23, 24, 60, 300])])
+    mixed = secrets.CLASSES[2]
+    texts.append("Zx81kQp0+Lm3/Vt7wRb2Ye9Hs5Nd4Jc6" + "aA1" * 30 + "Qw3rTy7uIo9pAs2dFg4hJk6lZx8cVb0nM")
+    want = []
+    for t in texts:
+        cls = next((c for c in secrets.CLASSES if set(t) <= set(c.alphabet) and len(t) >= c.window), None)
+        plain = len(t) < 20 or not re.search("[0-9]", t) or not re.search("[A-Za-z]", t) or any(re.search(f"(?i){w}", t) for w in secrets.ALLOW_WORDS) or any(re.search(p, t) for p in secrets.ALLOW)
+        inside = [s for s in secret_base(t) if s[0] in secrets.BASE]
+        want.append([] if plain or cls is None else [x for x in entropy_spans(t, cls) if not any(a <= x[0] and x[1] <= b for _, a, b in inside)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [[s["start"], s["end"]] for s in r["spans"] if s["kind"] == "entropy"] for r in secrets.scan_secrets(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(map(len, want)) > 20 and len(got[len(texts) - 1]) == 2 == len(entropy_spans(texts[-1], mixed))
+
+
+def test_allow_list(spark):
+    key = "Qw3rTy7uIo9pAs2dFg4hJk6lZx8cVb0nM"
+    texts = [f"hooks/com/services/T0A1B2C3D/B0Z9Y8X7W/{key}", f"{key}xxxx{key[::-1]}", "usr/share/doc/python3-x9", "550e8400-e29b-41d4-a716-446655440000", f"EXAMPLE{key[:10]}"]
+    rows = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in rows}
+    assert found[0] and found[0][-1][1] == len(texts[0])
+    assert found[1] == [(0, len(key)), (len(key) + 4, 2 * len(key) + 4)]
+    assert found[2] == found[3] == found[4] == []
+
+
+def test_long_logins_and_ibans():
+    login = "https://user:" + "p" * 400 + "@host.example/"
+    name = "ftp://" + "u" * 300 + ":pw@host"
+    spans = lambda t: [(k, t[s:e]) for k, s, e in pii.find_spans(t, pii.automaton())]
+    assert ("login", "user:" + "p" * 400) in spans(login)
+    assert ("login", "u" * 300 + ":pw") in spans(name)
+    for tail in ("", " Bitte", " B", "9", " 77 AB"):
+        assert ("iban", "DE89 3704 0044 0532 0130 00") in spans("IBAN DE89 3704 0044 0532 0130 00" + tail)
+    assert not [x for x in spans("IBAN DE88 3704 0044 0532 0130 00 Bitte") if x[0] == "iban"]
