@@ -1,21 +1,42 @@
-"""The folder for checkpoints."""
+"""The folder for checkpoints, and tables that are written once and then read."""
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
 
-def ensure(spark: SparkSession) -> None:
-    """spark.checkpoint.dir if it is set; a local folder only for a local master without it."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir if it is set; a local one, removed at exit, only for a local master without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local($|\[)", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(root)
+    if root:
+        return root.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="checkpoints-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return "file://" + _local[0]
+
+
+def ensure(spark: SparkSession) -> None:
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder(spark))
+
+
+def path(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/engine-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in that folder: evaluated once, whatever is read of it and however often."""
+    at = path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entity_id
+from .ranges import ranked
 
 
 def visible(tsn: Column | int, born: str = "born", died: str = "died") -> Column:
@@ -32,14 +33,16 @@ def snapshot(history: DataFrame, tsn: int, born: str = "born", died: str = "died
 
 
 def latest(history: DataFrame, keys: list[str], tsn: int | None = None, order: str = "tsn", active: str | None = "active") -> DataFrame:
-    """The newest version of each key up to tsn, if it is active.
+    """The newest version of each key up to tsn, if it is active; of versions with one tsn the greatest row, column by
+    column, so reruns agree.
 
-    max_by combines before the shuffle, so a key with very many versions costs one row a task; the other columns are
-    packed in one struct.
+    The maximum combines before the shuffle, so a key with very many versions costs one row a task; the other columns
+    are packed in one struct. Columns that can't be compared, such as maps, don't decide ties.
     """
     h = history if tsn is None else history.where(F.col(order) <= tsn)
     rest = [c for c in history.columns if c not in keys]
-    top = h.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__v"))
+    ties = [c for c in rest if c != order and "map<" not in dict(history.dtypes)[c] and dict(history.dtypes)[c] != "variant"]
+    top = h.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), *ties)).alias("__v"))
     out = top.select(*keys, *[F.col("__v")[c].alias(c) for c in rest])
     return out.where(F.col(active)) if active else out
 
@@ -63,20 +66,10 @@ class PointInTime:
 
 
 def spawn(rows: DataFrame, archetype_id: int, first_key: int, order: list[str], tsn: int) -> DataFrame:
-    """New entities with ids from first_key on, in the order given, born at tsn; ids are dense and reruns agree.
-
-    Ranks come from ranges: the driver sees a count for each range, no row passes through one task.
-    """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = sorted((r["__p"], r["n"]) for r in ranged.groupBy("__p").agg(F.count("*").alias("n")).collect())
-    starts, at = [], first_key
-    for p, n in sizes:
-        starts.append((p, at))
-        at += n
-    offsets = rows.sparkSession.createDataFrame(starts or [(0, 0)], "__p int, __s long")
-    key = F.col("__s") + F.col("__i")
-    out = ranged.join(F.broadcast(offsets), "__p").withColumn("entity_id", entity_id(key, archetype_id))
-    return out.withColumn("born", F.lit(tsn).cast("long")).withColumn("died", F.lit(0).cast("long")).drop("__p", "__i", "__s")
+    """New entities with ids from first_key on, in the order given, born at tsn; ids are dense, and reruns agree if no
+    two rows are equal in the order."""
+    out = ranked(rows, order, "__key", first_key, "spawned").withColumn("entity_id", entity_id(F.col("__key"), archetype_id)).drop("__key")
+    return out.withColumn("born", F.lit(tsn).cast("long")).withColumn("died", F.lit(0).cast("long"))
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -147,6 +140,27 @@ def index_range(df: DataFrame, key: str, low, high, descending: bool = False, ti
     return df.orderBy(F.desc(key) if descending else F.asc(key), *([tie] if tie else []))
 
 
+def index_point(df: DataFrame, key: str, value) -> DataFrame:
+    """Rows with the key; the comparison reaches the scan."""
+    return df.where(F.col(key) == value)
+
+
+def collect_values(df: DataFrame, key: str, value: str, into: str) -> DataFrame:
+    """(key, into): the values of each key as one collection, in ascending order."""
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(into))
+
+
+def append(df: DataFrame, collection: str, *values) -> DataFrame:
+    """Values added at a collection's end."""
+    out = F.concat(F.col(collection), F.array(*map(F.lit, values)).cast(dict(df.dtypes)[collection]))
+    return df.withColumn(collection, out)
+
+
+def elements(df: DataFrame, key: str, collection: str, into: str) -> DataFrame:
+    """(key, at, into): a row for each element with its place, from 0."""
+    return df.select(key, F.posexplode(collection).alias("at", into))
+
+
 def index_bounds(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.min(key).alias("min_key"), F.max(key).alias("max_key"))
 

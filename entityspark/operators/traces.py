@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import PLACE, RANGE, before, lagged, nth, ranged, ranked
 
-def assign_ticks(events: DataFrame, starts: DataFrame, ts: str = "ts", parts: str | None = None) -> DataFrame:
+
+def assign_ticks(events: DataFrame, starts: DataFrame, ts: str = "ts") -> DataFrame:
     """events with `tick`: the number of the last start at or before each, 0 before the first.
 
-    An as-of join by a union and a running maximum. Without `parts`, a running maximum over all rows: ranges are
-    summarised first, one row each, so that no task sees all rows.
+    An as-of join by a union and a running maximum, within ranges of time; what a range needs of those before it is the
+    maximum of one row each.
     """
-    marks = starts.select(F.col(ts), F.col("tick"), F.lit(0).alias("__e"))
+    marks = starts.select(F.col(ts), F.col("tick").cast("int").alias("tick"), F.lit(0).alias("__e"))
     rows = events.select(F.col(ts), F.lit(None).cast("int").alias("tick"), F.lit(1).alias("__e"), F.struct(*events.columns).alias("__row"))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    ranged = both.repartitionByRange(ts).withColumn("__p", F.spark_partition_id())
-    top = ranged.groupBy("__p").agg(F.max("tick").alias("m")).collect()
-    carried, at = [], 0
-    for r in sorted(top, key=lambda r: r["__p"]):
-        carried.append((r["__p"], at))
-        at = max(at, r["m"] or 0)
-    carry = events.sparkSession.createDataFrame(carried or [(0, 0)], "__p int, __carry int")
-    w = Window.partitionBy("__p").orderBy(ts, "__e").rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(carry), "__p").withColumn("__t", F.greatest(F.coalesce(F.max("tick").over(w), F.lit(0)), F.col("__carry")))
-    return out.where("__e = 1").select("__row.*", F.col("__t").alias("tick"))
+    kept = ranged(rows.unionByName(marks, allowMissingColumns=True), [ts, "__e"], "ticks")
+    top = kept.groupBy(RANGE).agg(F.max("tick").alias("__m"))
+    carry = top.select(RANGE, F.coalesce(before(top, F.max("__m")), F.lit(0)).alias("__carry"))
+    w = Window.partitionBy(RANGE).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    out = kept.withColumn("__t", F.coalesce(F.max("tick").over(w), F.lit(0))).join(F.broadcast(carry), RANGE)
+    return out.where("__e = 1").select("__row.*", F.greatest("__t", "__carry").alias("tick"))
 
 
 def fold_spans(kickoffs: DataFrame, completions: DataFrame, span: str = "span_id") -> DataFrame:
@@ -46,15 +43,29 @@ def per_system(events: DataFrame) -> DataFrame:
 
 
 def nth_of(sorted_by: str, fraction: float, groups: list[str], rows: DataFrame) -> DataFrame:
-    """For each group the element at min(floor(fraction * n), n - 1) of its sorted values, exactly.
+    """For each group the element at min(floor(fraction * n), n - 1) of its sorted values, exactly."""
+    return nth(rows, sorted_by, fraction, groups)
+
+
+def intervals(ticks: DataFrame, tick: str = "tick", start: str = "start", into: str = "interval_us") -> DataFrame:
+    """ticks with the time since the start of the tick before."""
+    return lagged(ticks, tick, start, "__before").withColumn(into, F.col(start) - F.col("__before")).drop("__before")
+
+
+def number_starts(starts: DataFrame, ts: str = "ts") -> DataFrame:
+    """Distinct starts with their tick, from 1 on."""
+    return ranked(starts.select(ts).distinct(), [ts], "tick", 1, "starts")
 
-    Values are counted first, so a group's window holds its distinct values only.
-    """
-    counts = rows.groupBy(*groups, sorted_by).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    x = counts.withColumn("__upto", F.sum("__c").over(w.orderBy(sorted_by))).withColumn("__n", F.sum("__c").over(w))
-    place = F.least(F.floor(F.col("__n") * fraction), F.col("__n") - 1)
-    return x.where((F.col("__upto") > place) & (F.col("__upto") - F.col("__c") <= place)).select(*groups, F.col(sorted_by).alias("p"))
+
+def tier_budget(spans: DataFrame, tier: Column) -> DataFrame:
+    """The spans and their cost of each tier."""
+    return spans.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.sum("dur").alias("cost"))
+
+
+def top_spans(spans: DataFrame, k: int = 20) -> DataFrame:
+    """The k names with the longest spans, ties by name: spans and total time of each."""
+    x = spans.groupBy("name").agg(F.count("*").alias("n"), F.sum("dur").alias("total"), F.max("dur").alias("max"))
+    return x.orderBy(F.desc("max"), "name").limit(k)
 
 
 def overall(ticks: DataFrame) -> DataFrame:
@@ -102,6 +113,15 @@ def gauge_series(samples: DataFrame, gauge: str, at: str, value: str) -> DataFra
     return samples.select(gauge, at, value, (F.col(value) - F.lag(value).over(w)).alias("change"))
 
 
+def split_capacities(samples: DataFrame, gauge: str, at: str, value: str, capacity_of: dict) -> tuple[DataFrame, DataFrame]:
+    """(series without capacities, (gauge, capacity)): a gauge that tells another one's capacity is no series of its own;
+    its last value above 0 is the capacity of that gauge. capacity_of: the gauge for each gauge of capacity."""
+    known = list(capacity_of)
+    last = samples.where(F.col(gauge).isin(known) & (F.col(value) > 0)).groupBy(gauge).agg(F.max_by(value, F.struct(at, value)).alias("capacity"))
+    of = F.create_map(*[F.lit(x) for pair in capacity_of.items() for x in pair])
+    return samples.where(~F.col(gauge).isin(known)), last.select(of[F.col(gauge)].alias(gauge), "capacity")
+
+
 def last_ticks(ticks: DataFrame, n: int) -> DataFrame:
     """The ring of the last n ticks."""
     return ticks.orderBy(F.desc("tick")).limit(n)

@@ -35,7 +35,9 @@ def compact(deltas: DataFrame, key: str, order: str) -> DataFrame:
     Added then Removed cancel; Added then Modified stays Added; Modified then Removed is Removed; Removed then Added
     is Modified. So the first and the last change decide: was it there before, is it there after.
     """
-    first, last = F.min_by("kind", order), F.max_by("kind", order)
+    # Changes with one order count as Added, Modified, Removed in turn, so reruns agree.
+    turn = F.struct(F.col(order), F.array_position(F.array(*map(F.lit, ("Added", "Modified", "Removed"))), F.col("kind")))
+    first, last = F.min_by("kind", turn), F.max_by("kind", turn)
     x = deltas.groupBy(key).agg(first.alias("__f"), last.alias("__l"))
     was, now = F.col("__f") != "Added", F.col("__l") != "Removed"
     kind = F.when(~was & now, "Added").when(was & ~now, "Removed").when(was & now, "Modified")
@@ -81,15 +83,19 @@ class View:
     def apply(self, changed: DataFrame) -> DataFrame:
         """Take only changed rows, `op` 'delete' for those gone: work in proportion to the change, but for the set.
 
-        The result is the same as a refresh over all rows, but that rows changed inside the view count as Modified.
+        The result is the same as a refresh over all rows; in a view without a bitmap, rows changed inside it count as
+        Modified besides.
         """
         if self.members is None:
             raise ValueError("refresh the view once before changes")
         touched = changed.select(self.key)
         now = self._rows(changed.where("op <> 'delete'"))
         was = self.members.join(touched, self.key, "left_semi")
-        both = was.select(self.key).join(now.select(self.key), self.key, "left_semi").select(self.key, F.lit("Modified").alias("kind"))
-        self._delta = diff(was, now, self.key).unionByName(both)
+        if isinstance(self.query, Predicate):
+            self._delta = diff(was, now, self.key, "bits")
+        else:
+            both = was.select(self.key).join(now.select(self.key), self.key, "left_semi").select(self.key, F.lit("Modified").alias("kind"))
+            self._delta = diff(was, now, self.key).unionByName(both)
         self.members = self.members.join(touched, self.key, "left_anti").unionByName(now)
         return self._delta
 
@@ -112,6 +118,38 @@ class View:
             self.members = self.members.checkpoint()
 
 
+class DeltaBuffer:
+    """Changes that wait for a view, up to a number of rows; beyond it they are dropped, and the view is queried again.
+
+    A flush gives the net change of each key. After an overflow rows inside the view before and after are no change.
+    """
+
+    def __init__(self, view: View, capacity: int = 4096):
+        self.view, self.capacity = view, capacity
+        self.frames: list[DataFrame] = []
+        self.size, self.overflowed = 0, False
+
+    def push(self, changed: DataFrame) -> None:
+        if self.overflowed:
+            return
+        self.size += changed.limit(self.capacity + 1).count()
+        self.frames.append(changed)
+        if self.size > self.capacity:
+            self.frames, self.overflowed = [], True
+
+    def flush(self, rows: DataFrame) -> DataFrame:
+        """The view's change since the last flush; rows is the state now, read after an overflow only."""
+        frames, over = self.frames, self.overflowed
+        self.frames, self.size, self.overflowed = [], 0, False
+        if over or not frames:
+            return self.view.refresh(rows) if over else self.view.members.select(self.view.key, F.lit("").alias("kind")).where("false")
+        deltas = None
+        for k, f in enumerate(frames):
+            d = self.view.apply(f).withColumn("__turn", F.lit(k))
+            deltas = d if deltas is None else deltas.unionByName(d)
+        return compact(deltas, self.view.key, "__turn")
+
+
 def change_log(before: DataFrame, after: DataFrame, key: str, fields: list[str], tsn: int) -> DataFrame:
     """(key, field, before, after, tsn, op) of all fields that differ between two states."""
     a = before.select(key, F.struct(*fields).alias("__a"))

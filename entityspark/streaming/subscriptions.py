@@ -7,9 +7,10 @@ import struct
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import ranked
 from ..plans.schedule import Priority, skip_subscription
 
 
@@ -29,18 +30,19 @@ def delta_message(delta: DataFrame, now: DataFrame, before: DataFrame | None, ke
 
 
 def initial_sync(view: DataFrame, key: str, batch: int) -> DataFrame:
-    """The view's rows with the number of the batch in which a new subscriber gets them, in the keys' order.
-
-    Ranks come from ranges, so no task sees all keys.
-    """
-    ranged = view.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    ranked = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
-    starts, at = [], 0
-    for r in sorted(ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()):
-        starts.append((r["__p"], at))
-        at += r["n"]
-    s = view.sparkSession.createDataFrame(starts or [(0, 0)], "__p int, __s long")
-    return ranked.join(F.broadcast(s), "__p").select(key, F.floor((F.col("__s") + F.col("__i") - 1) / batch).cast("int").alias("batch"))
+    """The view's rows with the number of the batch in which a new subscriber gets them, in the keys' order."""
+    return ranked(view.select(key), [key], "__at", 0, "sync").select(key, F.floor(F.col("__at") / batch).cast("int").alias("batch"))
+
+
+def sync_events(view: DataFrame, key: str, batch: int, resync: bool = False) -> DataFrame:
+    """(batch, event, key): the messages of a first sync, in the order of batches: a Resync if the client must forget what
+    it has, the rows as Added, and one SyncComplete after the last batch (batch 0 of an empty view)."""
+    rows = initial_sync(view, key, batch).select("batch", F.lit("Added").alias("event"), key)
+    nothing = F.lit(None).cast(dict(view.dtypes)[key]).alias(key)
+    out = rows.unionByName(rows.agg((F.coalesce(F.max("batch") + 1, F.lit(0))).cast("int").alias("batch")).select("batch", F.lit("SyncComplete").alias("event"), nothing))
+    if resync:
+        out = view.sparkSession.range(1).select(F.lit(-1).alias("batch"), F.lit("Resync").alias("event"), nothing).unionByName(out)
+    return out
 
 
 def materialize_client(messages: DataFrame, key: str, tick: str, components: list[str]) -> DataFrame:
