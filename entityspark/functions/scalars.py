@@ -105,7 +105,7 @@ def variant_type(v: Column | str) -> Column:
 
 def variant_as(v: Column | str, kind: str) -> Column:
     """The value if the variant is of that kind, else null."""
-    data = F.substring(_c(v), 4, 1 << 20)
+    data = F.substr(_c(v), F.lit(4))
     value = data == "1" if kind == "Boolean" else data if kind == "String" else data.try_cast({"Byte": "byte", "Short": "short", "Int": "int", "Long": "long"}[kind])
     return F.when(variant_type(v) == kind, value)
 

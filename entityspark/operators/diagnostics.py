@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import Component, compare
+from ..schema import Component, assign_ids, compare
 from .entities import World
 
 
@@ -41,5 +41,9 @@ def schema_diff(spark: SparkSession, old: Component, new: Component) -> DataFram
 
 
 def schema_history(spark: SparkSession, revisions: list[Component]) -> DataFrame:
-    rows = [(b.name, a.revision, b.revision, c.kind, c.field, c.level) for a, b in zip(revisions, revisions[1:]) for c in compare(a, b)]
+    """The changes of each revision against the one before, fields keeping their ids from one to the next."""
+    known: list[Component] = []
+    for r in revisions:
+        known.append(assign_ids(r, known[-1] if known else None))
+    rows = [(b.name, a.revision, b.revision, c.kind, c.field, c.level) for a, b in zip(known, known[1:]) for c in compare(a, b)]
     return spark.createDataFrame(rows, "component string, from_revision int, to_revision int, kind string, field string, level string")

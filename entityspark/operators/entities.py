@@ -7,6 +7,7 @@ whole tables before anything is read, and the remaining predicates reach the sca
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from ..functions.geometry import Box
 from ..functions.scalars import category_match
 from ..plans.dnf import Predicate
 from ..schema import Registry
+from .store import index_bounds, index_range
 
 KEYS = ("entity_id", "archetype_id", "enabled")
 
@@ -48,6 +50,20 @@ class World:
             raise KeyError(entity_id)
         return self.query_exact(name).where(F.col("entity_id") == entity_id).read()
 
+    def try_open(self, entity_id: int) -> DataFrame | None:
+        """The entity, or None if its id names no table or no row of it."""
+        try:
+            found = self.open(entity_id)
+        except KeyError:
+            return None
+        return None if found.isEmpty() else found
+
+    def index(self, component: str, field: str) -> IndexHandle:
+        """The index of a field; KeyError without one."""
+        if self.registry.components[component][field].index is None:
+            raise KeyError(f"{component}.{field} has no index")
+        return IndexHandle(self, component, field)
+
     def alive(self, ids: DataFrame) -> DataFrame:
         """ids(entity_id) with `alive`."""
         every = self.query_all().execute().select("entity_id", F.lit(True).alias("__in"))
@@ -178,6 +194,12 @@ class EntityQuery:
         q._order = (F.col(component)[field] if component else F.col(field), descending)
         return q
 
+    def front_to_back(self, component: str, bounds: tuple[str, ...], origin: tuple, direction: tuple) -> EntityQuery:
+        """In the order in which a ray enters the boxes, ties by entity."""
+        q = self._copy()
+        q._order = (self._box(component, bounds).ray_entry(origin, direction), False)
+        return q
+
     def order_by_key(self, descending: bool = False) -> EntityQuery:
         return self.order_by("", "entity_id", descending)
 
@@ -249,6 +271,33 @@ class EntityQuery:
         return self.read(*components).mapInArrow(work, schema)
 
 
+@dataclass(frozen=True)
+class IndexHandle:
+    """An indexed field of all archetypes that have its component; disabled components are not in the index."""
+
+    world: World
+    component: str
+    field: str
+
+    @property
+    def unique(self) -> bool:
+        return self.world.registry.components[self.component][self.field].index == "unique"
+
+    def entries(self) -> DataFrame:
+        """(entity_id, key)"""
+        rows = self.world.query_all().with_(self.component).enabled(self.component).read(self.component)
+        return rows.select("entity_id", F.col(self.component)[self.field].alias("key")).where("key is not null")
+
+    def lookup(self, key) -> DataFrame:
+        return self.entries().where(F.col("key") == key)
+
+    def range(self, low=None, high=None, descending: bool = False) -> DataFrame:
+        return index_range(self.entries(), "key", low, high, descending, "entity_id")
+
+    def bounds(self) -> DataFrame:
+        return index_bounds(self.entries(), "key")
+
+
 class Navigation:
     """Sources whose foreign key leads to a target that a predicate holds for; a semi-join."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
-from ..functions.scalars import category_match, cell_index, morton
+from ..functions.scalars import category_match, cell_index, morton, morton_x, morton_y
 
 
 @dataclass(frozen=True)
@@ -42,21 +42,44 @@ class Grid:
         return [spread(x) | spread(y) << 1 for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
 
 
-def overlap_join(items: DataFrame, regions: DataFrame, grid: Grid, item_box: Box, region_box: Box, item_id: str, region_id: str, residual: Column | None = None) -> DataFrame:
-    """(region_id, item_id) of all pairs that overlap.
+#: Parts into which the items of each cell are dealt.
+SALTS = 8
+
+
+def overlap_join(items: DataFrame, regions: DataFrame, grid: Grid, item_box: Box, region_box: Box, item_id: str, region_id: str, residual: Column | None = None, also: tuple[str, ...] = (), salts: int = SALTS) -> DataFrame:
+    """(region_id, item_id) of all pairs that overlap, with the columns of `also`.
 
     Both sides go to the cells they touch and meet by cell, so the join is an equi-join; a pair is kept in the one
     cell that holds the least corner of its overlap, so none comes twice and nothing is deduplicated by a shuffle.
-    The columns of both sides must have different names.
+    The items of a cell are dealt over `salts` parts and regions go to each of them, so a cell with very many items is
+    no single task's. The columns of both sides must have different names.
     """
-    a = items.withColumn("__cell", F.explode(grid.cells(item_box)))
-    b = regions.withColumn("__cell", F.explode(grid.cells(region_box)))
+    a = items.withColumn("__cell", F.explode(grid.cells(item_box))).withColumn("__salt", F.pmod(F.xxhash64(item_id), F.lit(salts)))
+    b = regions.withColumn("__cell", F.explode(grid.cells(region_box))).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     corner = [F.greatest(x[0], y[0]) for x, y in zip(item_box.axes[:2], region_box.axes[:2])]
     own = F.col("__cell") == grid.key(*corner)
-    hit = a.join(b, "__cell").where(item_box.overlaps(region_box) & own)
+    hit = a.join(b, ["__cell", "__salt"]).where(item_box.overlaps(region_box) & own)
     if residual is not None:
         hit = hit.where(residual)
-    return hit.select(region_id, item_id)
+    return hit.select(region_id, item_id, *also)
+
+
+def occupants(items: DataFrame, regions: DataFrame, grid: Grid, item_box: Box, region_box: Box, item_id: str, region_id: str, chunk: Column) -> DataFrame:
+    """(region_id, item_id, chunk): who is in each region, and the chunk that holds the item."""
+    return overlap_join(items.withColumn("chunk", chunk), regions, grid, item_box, region_box, item_id, region_id, also=("chunk",))
+
+
+def in_both(static: DataFrame, dynamic: DataFrame, test: Column, of_static: Column | None = None) -> DataFrame:
+    """What a test holds for in the set that never moves and in the one that does, which may have a test of its own."""
+    return static.where(test if of_static is None else of_static).unionByName(dynamic.where(test))
+
+
+def cluster_bounds(items: DataFrame, cluster: Column, box: Box, category: Column) -> DataFrame:
+    """(cluster, min_x, min_y, ..., category): the union of the boxes of each cluster, and all its categories' bits."""
+    names = "xyz"[: len(box.axes)]
+    least = [F.min(lo).alias(f"min_{n}") for n, (lo, _) in zip(names, box.axes)]
+    most = [F.max(hi).alias(f"max_{n}") for n, (_, hi) in zip(names, box.axes)]
+    return items.groupBy(cluster.alias("cluster")).agg(*least, *most, F.bit_or(category).alias("category"))
 
 
 def nearest(df: DataFrame, box: Box, at: tuple, k: int, id_col: str) -> DataFrame:
@@ -102,9 +125,9 @@ def region_changes(before: DataFrame, after: DataFrame, region_id: str, item_id:
 
 
 def trigger_results(changes: DataFrame, region_id: str, item_id: str) -> DataFrame:
-    """For each region its entered and left ids, and the number that stayed."""
-    of = lambda c: F.sort_array(F.collect_list(F.when(F.col("change") == c, F.col(item_id))))
-    return changes.groupBy(region_id).agg(of("entered").alias("entered"), of("left").alias("left"), F.count(F.when(F.col("change") == "stayed", 1)).alias("stayed"))
+    """For each region how many entered, left and stayed; which ones they are, the rows of changes say."""
+    of = lambda c: F.count(F.when(F.col("change") == c, F.col(item_id))).alias(c)
+    return changes.groupBy(region_id).agg(of("entered"), of("left"), of("stayed"))
 
 
 def due_regions(regions: DataFrame, tick: int, frequency: str = "frequency", last: str = "last_tick") -> DataFrame:
@@ -131,6 +154,33 @@ def observer_updates(observers: DataFrame, items: DataFrame, changes: DataFrame,
     return full.unionByName(some.withColumn("is_full_sync", F.lit(False)))
 
 
+def advance(observers: DataFrame, tick: int) -> DataFrame:
+    """Observers that have heard all up to a tick, a full sync included."""
+    return observers.withColumn("last_tick", F.greatest("last_tick", F.lit(tick)))
+
+
+def set_tier(cells: DataFrame, tier: int, where: Column, least: bool = False) -> DataFrame:
+    """cells(cell_key, tier) with a tier set where a condition holds; least: only where it is less than the cell's."""
+    new = F.least("tier", F.lit(tier)) if least else F.lit(tier)
+    return cells.withColumn("tier", F.when(where, new).otherwise(F.col("tier")).cast("int"))
+
+
+def set_tier_in_box(cells: DataFrame, grid: Grid, box: tuple[float, ...], tier: int, least: bool = False) -> DataFrame:
+    """The same for the cells that a box touches, told by their coordinates."""
+    x, y = morton_x("cell_key"), morton_y("cell_key")
+    x0, x1, y0, y1 = grid.cell_x(F.lit(box[0])), grid.cell_x(F.lit(box[2])), grid.cell_y(F.lit(box[1])), grid.cell_y(F.lit(box[3]))
+    return set_tier(cells, tier, x.between(x0, x1) & y.between(y0, y1), least)
+
+
+def reset_tiers(cells: DataFrame, tier: int) -> DataFrame:
+    return cells.withColumn("tier", F.lit(tier))
+
+
+def tier_index(items: DataFrame, tier: Column) -> DataFrame:
+    """(tier, n): the entities of each tier."""
+    return items.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+
+
 def assign_tiers(cells: DataFrame, grid: Grid, observers: DataFrame, box: Box, tier: str, default: int) -> DataFrame:
     """cells(cell_key) with the least tier of the observers over each, or the default."""
     reached = observers.select(F.explode(grid.cells(box)).alias("cell_key"), F.col(tier).alias("__tier")).groupBy("cell_key").agg(F.min("__tier").alias("__tier"))

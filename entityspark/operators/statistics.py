@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.dnf import FieldStatistics
+from .checkpoints import written
 
 BUCKETS, COMMON, LOG_K = 100, 100, 12
 
@@ -45,15 +48,39 @@ def most_common(df: DataFrame, column: str, k: int = COMMON, scale: float = 1.0)
     return top if scale == 1.0 else top.withColumn("n", F.greatest(F.lit(1), F.floor(F.col("n") * scale)).cast("long"))
 
 
-def rebuild(df: DataFrame, columns: list[str], k: int = COMMON) -> DataFrame:
-    """(field, n, low, high, n_distinct, commonest, commonest_n) of numeric columns in one pass over the rows.
+@dataclass
+class Rebuilt:
+    """Statistics of many fields from one pass: summary (field, n, low, high, n_distinct, n_estimate, commonest,
+    commonest_n), histogram (field, bucket, n) and common (field, value, n)."""
+
+    summary: DataFrame
+    histogram: DataFrame
+    common: DataFrame
+
+
+def rebuild(df: DataFrame, columns: list[str], k: int = COMMON, buckets: int = BUCKETS, fraction: float = 1.0, seed: int = 1, log_k: int = LOG_K) -> Rebuilt:
+    """Statistics of numeric columns; fraction: the part of the rows to sample, whose counts are scaled up to all.
 
-    The rows become (field, value, n) counts, which combine before the shuffle, and the rest works on these.
+    The rows become (field, value, n) counts, which combine before the shuffle, and are written once; all else works on
+    these. Whole numbers are counted as such, not as doubles, so neighbours beyond 2^53 stay apart.
     """
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
-    counts = long.where("value is not null").groupBy("field", "value").agg(F.count("*").alias("n"))
-    best = F.max(F.struct("n", (-F.col("value")).alias("v")))
-    return counts.groupBy("field").agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n_distinct"), best.alias("b")).select("field", "n", "low", "high", "n_distinct", (-F.col("b.v")).alias("commonest"), F.col("b.n").alias("commonest_n"))
+    kinds = dict(df.dtypes)
+    whole = lambda c: kinds[c] in ("tinyint", "smallint", "int", "bigint")
+    entry = lambda c: F.struct(F.lit(c).alias("field"), (F.col(c) if whole(c) else F.lit(None)).cast("long").alias("whole"), (F.lit(None) if whole(c) else F.col(c)).cast("double").alias("part"))
+    some = df if fraction >= 1 else df.sample(fraction=fraction, seed=seed)
+    long = some.select(F.explode(F.array(*map(entry, columns))).alias("x")).select("x.*").where("whole is not null or part is not null")
+    counts = written(long.groupBy("field", "whole", "part").agg(F.count("*").alias("n")), "field-counts")
+    value = F.coalesce("part", F.col("whole").cast("double"))
+    up = lambda n: n if fraction >= 1 else F.greatest(F.lit(1), F.floor(n / F.lit(fraction))).cast("long")
+    best = F.max(F.struct("n", (-F.coalesce("whole", F.lit(0))).alias("w"), (-F.coalesce("part", F.lit(0.0))).alias("p")))
+    sketch = F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("whole", "part"), F.lit(log_k)))
+    summary = counts.groupBy("field").agg(F.sum("n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n_distinct"), sketch.alias("n_estimate"), best.alias("b"), F.max(F.col("whole").isNotNull()).alias("is_whole"))
+    commonest = F.when(F.col("is_whole"), (-F.col("b.w")).cast("double")).otherwise(-F.col("b.p"))
+    summary = summary.select("field", up(F.col("n")).alias("n"), "low", "high", "n_distinct", "n_estimate", commonest.alias("commonest"), up(F.col("b.n")).alias("commonest_n"))
+    edges = F.broadcast(counts.groupBy("field").agg(F.min(value).alias("__low"), F.max(value).alias("__high")))  # a row a field
+    filled = counts.join(edges, "field").groupBy("field", bucket_of(value, F.col("__low"), F.col("__high"), buckets).alias("bucket")).agg(up(F.sum("n")).alias("n"))
+    parts = [counts.where(F.col("field") == c).orderBy(F.desc("n"), "whole", "part").limit(k).select("field", value.alias("value"), up(F.col("n")).alias("n")) for c in columns]
+    return Rebuilt(summary, filled, reduce(DataFrame.unionByName, parts))
 
 
 def field_statistics(df: DataFrame, column: str, buckets: int = BUCKETS, k: int = COMMON) -> FieldStatistics:
@@ -81,6 +108,32 @@ class RebuildPolicy:
         return min(1.0, self.sample_above / rows) if rows else 1.0
 
 
+@dataclass
+class Keeper:
+    """Statistics of tables that are rebuilt when the policy says so: mutations are counted, and a poll looks at them."""
+
+    policy: RebuildPolicy = field(default_factory=RebuildPolicy)
+    mutated: dict[str, int] = field(default_factory=dict)
+    known: dict[str, Rebuilt] = field(default_factory=dict)
+
+    def note(self, table: str, n: int = 1) -> None:
+        self.mutated[table] = self.mutated.get(table, 0) + n
+
+    def poll(self, tables: dict[str, tuple[Callable[[], DataFrame], list[str]]]) -> list[str]:
+        """Rebuild what is due, of tables (rows, columns) by name; the names of those rebuilt."""
+        done = []
+        for name, (rows, columns) in sorted(tables.items()):
+            if self.mutated.get(name, 0) < self.policy.mutations:
+                continue
+            df = rows()
+            n = df.count()
+            if self.policy.due(self.mutated[name], n):
+                self.known[name] = rebuild(df, columns, fraction=self.policy.fraction(n))
+                self.mutated[name] = 0
+                done.append(name)
+        return done
+
+
 def zone_map(df: DataFrame, key: str, columns: list[str], size: int = 64) -> DataFrame:
     """Least and greatest value of each column in runs of `size` keys."""
     return df.groupBy(F.floor(F.col(key) / size).cast("long").alias("cluster")).agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])

@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.entities import Navigation
+from ..operators.entities import Navigation, World
 from ..plans.dnf import branch_bitmap, field, flipped
+from ..schema import Field, Registry
 from ..streaming.ticks import in_tier
 from .register import Tables, query
 from .world import CUSTOMER, CUSTOMERS, EVERY, PARTIES, SUPPLIERS, REGISTRY, world
@@ -279,3 +280,41 @@ def window_functions(t: Tables):
         F.lag("o_orderkey").over(d).alias("prev"),
         F.count("*").over(d.rowsBetween(-2, 0)).alias("recent"),
     )
+
+
+@query(f"SELECT * FROM (VALUES ('customer', 1), ('no such key', 0), ('no such archetype', 0)) AS v(asked, found)")
+def try_open(t: Tables):
+    """What is there is opened; what isn't gives nothing and raises nothing."""
+    w = world(t)
+    first = t.customer.agg(F.min("c_custkey")).first()[0]
+    ids = {"customer": first * 4096 + CUSTOMER, "no such key": 987_654_321 * 4096 + CUSTOMER, "no such archetype": 4096 + 77}
+    got = {name: w.try_open(i) for name, i in ids.items()}
+    return t.spark.createDataFrame([(name, 0 if df is None else df.count()) for name, df in got.items()], "asked string, found int")
+
+
+@query(f"SELECT entity_id, balance AS key FROM {PARTIES} WHERE balance >= 0 AND balance BETWEEN 100 AND 2500")
+def index_handle(t: Tables):
+    """An index by its field, over all archetypes that have it; disabled components aren't in it."""
+    return world(t).index("Account", "balance").range(100, 2500)
+
+
+#: Line items as bodies: boxes of their own.
+BODIES = "(SELECT (l_orderkey * 10 + l_linenumber)::BIGINT * 4096 + 9 AS entity_id, l_quantity AS x0, l_extendedprice AS y0, l_quantity + 1.5 AS x1, l_extendedprice + 900 AS y1 FROM lineitem)"
+
+
+def bodies(t: Tables) -> World:
+    registry = Registry().component("Body", *[Field(n, "Double") for n in ("x0", "y0", "x1", "y1")]).archetype("Thing", 9, "Body")
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    q, p = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")
+    rows = t.lineitem.select((key * 4096 + 9).alias("entity_id"), F.lit(1).alias("enabled"), F.struct(q.alias("x0"), p.alias("y0"), (q + 1.5).alias("x1"), (p + 900).alias("y1")).alias("Body"))
+    return World(registry, {"Thing": rows})
+
+
+@query(f"""
+WITH s AS (SELECT *, greatest((x0 - 0.5) / 1.0, (y0 - 1000) / 800.0) AS tn, least((x1 - 0.5) / 1.0, (y1 - 1000) / 800.0) AS tf FROM {BODIES}),
+h AS (SELECT entity_id, greatest(tn, 0) AS entry FROM s WHERE tn <= tf AND tf >= 0 AND greatest(tn, 0) <= 45)
+SELECT entity_id, 9 AS archetype_id FROM (SELECT *, row_number() OVER (ORDER BY entry, entity_id) AS r FROM h) WHERE r > 3 AND r <= 40""")
+def ray_front_to_back(t: Tables):
+    """The boxes that a ray meets within a length, in the order in which it enters them."""
+    bounds, at, way = ("x0", "y0", "x1", "y1"), (0.5, 1000.0), (1.0, 800.0)
+    return bodies(t).query("Thing").where_ray("Body", bounds, at, way, 45).front_to_back("Body", bounds, at, way).skip(3).take(37).execute()

@@ -6,18 +6,21 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import diagnostics, statistics, traces
-from ..schema import Component, Field, Migrations, assign_ids, evolve, migrate_rows
+from ..schema import Component, Field, Migrations, assign_ids, compare, evolve, level, migrate_rows, validate
 from ..sources import shell
 from ..sources.tables import chunk_manifest, schema_json
 from .register import Tables, query
 from .world import CUSTOMERS, REGISTRY, SUPPLIERS, world
 
 
-@query()
+@query("SELECT TRUE AS l_orderkey, TRUE AS l_partkey")
 def approx_distinct(t: Tables):
-    """Mergeable sketches of parts, united: about 2 % off."""
+    """Mergeable sketches of parts, united: each within 5 % of the true number."""
     parts = t.lineitem.groupBy("l_returnflag").agg(F.hll_sketch_agg("l_orderkey", F.lit(12)).alias("l_orderkey"), F.hll_sketch_agg("l_partkey", F.lit(12)).alias("l_partkey"))
-    return statistics.distinct_estimate(parts, "l_orderkey", "l_partkey")
+    names = ("l_orderkey", "l_partkey")
+    true = t.lineitem.agg(*[F.count_distinct(c).alias(f"true_{c}") for c in names])
+    both = statistics.distinct_estimate(parts, *names).crossJoin(F.broadcast(true))  # one row each
+    return both.select(*[(F.abs(F.col(c) - F.col(f"true_{c}")) <= 0.05 * F.col(f"true_{c}")).alias(c) for c in names])
 
 
 @query("SELECT least(99, floor((o_totalprice - lo) / greatest(1.0, floor((hi - lo) / 100))))::INTEGER AS bucket, count(*) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1")
@@ -33,21 +36,56 @@ def most_common(t: Tables):
 @query("""
 WITH v AS (SELECT 'l_quantity' AS field, l_quantity AS value FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_linenumber', l_linenumber FROM lineitem),
 c AS (SELECT field, value, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, value) AS r FROM v GROUP BY 1, 2)
-SELECT field, sum(n)::BIGINT AS n, min(value) AS low, max(value) AS high, count(*) AS n_distinct, max(CASE WHEN r = 1 THEN value END) AS commonest, max(CASE WHEN r = 1 THEN n END) AS commonest_n FROM c GROUP BY field""")
+SELECT field, sum(n)::BIGINT AS n, min(value)::DOUBLE AS low, max(value)::DOUBLE AS high, count(*) AS n_distinct, TRUE AS near, max(CASE WHEN r = 1 THEN value END)::DOUBLE AS commonest, max(CASE WHEN r = 1 THEN n END) AS commonest_n FROM c GROUP BY field""")
 def statistics_rebuild(t: Tables):
-    return statistics.rebuild(t.lineitem, ["l_quantity", "l_discount", "l_linenumber"])
+    """Of each field in one pass, the sketch's estimate within 5 % of the number of values."""
+    s_ = statistics.rebuild(t.lineitem, ["l_quantity", "l_discount", "l_linenumber"]).summary
+    return s_.withColumn("near", F.abs(F.col("n_estimate") - F.col("n_distinct")) <= 0.05 * F.col("n_distinct")).drop("n_estimate")
 
 
-@query()
+FIELDS = "(SELECT 'l_extendedprice' AS field, l_extendedprice::DOUBLE AS value FROM lineitem UNION ALL SELECT 'l_orderkey', l_orderkey::DOUBLE FROM lineitem)"
+
+
+@query(f"""
+WITH e AS (SELECT field, min(value) AS lo, max(value) AS hi FROM {FIELDS} GROUP BY field)
+SELECT field, least(99, floor((value - lo) / greatest(1.0, floor((hi - lo) / 100))))::INTEGER AS bucket, count(*) AS n FROM {FIELDS} JOIN e USING (field) GROUP BY 1, 2""")
+def statistics_histograms(t: Tables):
+    """The rebuild's 100 buckets of each field."""
+    return statistics.rebuild(t.lineitem, ["l_extendedprice", "l_orderkey"]).histogram
+
+
+@query(f"SELECT field, value, n FROM (SELECT field, value, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, value) AS r FROM {FIELDS} GROUP BY 1, 2) WHERE r <= 100")
+def statistics_common(t: Tables):
+    """The rebuild's 100 commonest values of each field."""
+    return statistics.rebuild(t.lineitem, ["l_extendedprice", "l_orderkey"]).common
+
+
+@query("SELECT * FROM (VALUES ('few changes', FALSE), ('few rows', FALSE), ('due', TRUE), ('just rebuilt', FALSE)) AS v(\"case\", rebuilt)")
+def statistics_policy(t: Tables):
+    """When statistics are rebuilt: after 1000 mutations, of tables with 100 rows or more."""
+    keeper = statistics.Keeper()
+    tables = {"orders": (lambda: t.orders, ["o_totalprice"]), "nation": (lambda: t.nation, ["n_nationkey"])}
+    keeper.note("orders", 999)
+    rows = [("few changes", "orders" in keeper.poll(tables))]
+    keeper.note("nation", 5000)
+    rows.append(("few rows", "nation" in keeper.poll(tables)))
+    keeper.note("orders")
+    rows += [("due", "orders" in keeper.poll(tables)), ("just rebuilt", "orders" in keeper.poll(tables))]
+    return t.spark.createDataFrame(rows, "`case` string, rebuilt boolean")
+
+
+@query("SELECT op, v::DOUBLE AS value, TRUE AS near, CASE op WHEN '==' THEN count(*) FILTER (WHERE l_quantity = v) WHEN '!=' THEN count(*) FILTER (WHERE l_quantity <> v) WHEN '>' THEN count(*) FILTER (WHERE l_quantity > v) WHEN '>=' THEN count(*) FILTER (WHERE l_quantity >= v) WHEN '<' THEN count(*) FILTER (WHERE l_quantity < v) ELSE count(*) FILTER (WHERE l_quantity <= v) END AS actual FROM lineitem, (VALUES ('=='), ('!='), ('>'), ('>='), ('<'), ('<=')) AS o(op), (VALUES (5), (25), (50)) AS w(v) GROUP BY op, v")
 def selectivity_estimates(t: Tables):
-    """Estimates from a histogram and common values beside the true counts."""
+    """Estimates from a histogram and common values: within 5 % of all rows of the true counts."""
     st = statistics.field_statistics(t.lineitem, "l_quantity")
     rows = [(op, float(v), st.estimate(op, float(v))) for op in ("==", "!=", ">", ">=", "<", "<=") for v in (5, 25, 50)]
     name = lambda op, v: F.lit(f"{op}{v}")
     counts = F.create_map(*[x for op, v, _ in rows for x in (name(op, v), F.count(F.when(s.compare(F.col("l_quantity"), op, v), 1)))])
     true = t.lineitem.agg(counts.alias("m"))
     e = t.spark.createDataFrame(rows, "op string, value double, estimate long")
-    return e.crossJoin(F.broadcast(true)).select("op", "value", "estimate", F.col("m")[F.concat("op", F.col("value").cast("string"))].alias("actual"))
+    n = t.lineitem.count()
+    both = e.crossJoin(F.broadcast(true)).select("op", "value", "estimate", F.col("m")[F.concat("op", F.col("value").cast("string"))].alias("actual"))
+    return both.select("op", "value", (F.abs(F.col("estimate") - F.col("actual")) <= 0.05 * n).alias("near"), "actual")
 
 
 @query("SELECT (o_orderkey // 64)::BIGINT AS cluster, count(*) AS n, min(o_totalprice) AS min_o_totalprice, max(o_totalprice) AS max_o_totalprice, min(o_custkey) AS min_o_custkey, max(o_custkey) AS max_o_custkey FROM orders GROUP BY 1")
@@ -113,8 +151,7 @@ def top_systems(t: Tables):
 
 @query(f"SELECT name, n, total FROM (SELECT name, count(*) AS n, sum(dur)::BIGINT AS total, max(dur) AS m FROM {SPANS} GROUP BY name) ORDER BY m DESC, name LIMIT 20")
 def top_spans(t: Tables):
-    x = spans(t).groupBy("name").agg(F.count("*").alias("n"), F.sum("dur").alias("total"), F.max("dur").alias("m"))
-    return x.orderBy(F.desc("m"), "name").limit(20).drop("m")
+    return traces.top_spans(spans(t)).select("name", "n", "total")
 
 
 @query(f"SELECT count(part) AS n, coalesce(sum(part), 0)::BIGINT AS total FROM (SELECT CASE WHEN {PART} > 0 THEN {PART} END AS part FROM {SPANS}, {EDGES} WHERE name = 'purchase')")
@@ -127,9 +164,19 @@ def gauge_series(t: Tables):
     return traces.gauge_series(spans(t), "system", "span_id", "dur")
 
 
+@query(f"""
+WITH g AS (SELECT * FROM {SPANS} WHERE system < 6), c AS (SELECT CASE system WHEN 4 THEN 0 ELSE 1 END AS system, max_by(dur, span_id) AS capacity FROM g WHERE system IN (4, 5) AND dur > 0 GROUP BY 1)
+SELECT g.system, g.span_id, g.dur, c.capacity FROM g LEFT JOIN c USING (system) WHERE system NOT IN (4, 5)""")
+def gauge_capacities(t: Tables):
+    """Gauges 4 and 5 tell the capacities of 0 and 1: their last values, beside the series of the others."""
+    g = spans(t).where("system < 6").select("system", "span_id", "dur")
+    series, capacities = traces.split_capacities(g, "system", "span_id", "dur", {4: 0, 5: 1})
+    return series.join(capacities, "system", "left")
+
+
 @query(f"SELECT (system % 4)::INTEGER AS tier, count(*) AS n, sum(dur)::BIGINT AS cost FROM {SPANS} GROUP BY 1")
 def tier_budget(t: Tables):
-    return spans(t).groupBy((F.col("system") % 4).alias("tier")).agg(F.count("*").alias("n"), F.sum("dur").alias("cost"))
+    return traces.tier_budget(spans(t), F.col("system") % 4)
 
 
 @query(f"SELECT tick, duration, events FROM {TICKS} ORDER BY tick DESC LIMIT 32")
@@ -139,20 +186,15 @@ def telemetry_ring(t: Tables):
 
 @query(f"SELECT tick, start, start - lag(start) OVER (ORDER BY tick) AS interval_us FROM {TICKS}")
 def tick_interval(t: Tables):
-    """Time since the tick before: ticks are few beside events, and carry the window alone."""
-    from pyspark.sql import Window
-
-    x = traces.per_tick(spans(t)).select("tick", "start")
-    return x.withColumn("interval_us", F.col("start") - F.lag("start").over(Window.orderBy("tick")))
+    """Time since the tick before."""
+    return traces.intervals(traces.per_tick(spans(t)).select("tick", "start"))
 
 
 @query(f"SELECT e.span_id, max(m.tick)::INTEGER AS tick FROM {SPANS} e LEFT JOIN (SELECT 0 AS tick, -1::BIGINT AS ts UNION ALL SELECT (row_number() OVER (ORDER BY ts))::INTEGER, ts FROM (SELECT DISTINCT ts FROM {SPANS} WHERE span_id % 97 = 5)) m ON m.ts <= e.ts GROUP BY e.span_id")
 def tick_assignment(t: Tables):
     """Which tick each event falls in: an as-of join with the ticks' starts."""
-    from pyspark.sql import Window
-
     e = spans(t)
-    starts = e.where("span_id % 97 = 5").select("ts").distinct().withColumn("tick", F.row_number().over(Window.orderBy("ts")))
+    starts = traces.number_starts(e.where("span_id % 97 = 5"))
     return traces.assign_ticks(e.drop("tick"), starts).select("span_id", "tick")
 
 
@@ -194,6 +236,8 @@ def fixed_text(t: Tables):
 OLD = assign_ids(Component("Price", (Field("key", "Long"), Field("amount", "Float"), Field("size", "Int", index="multi"), Field("gone", "String64"))))
 NEW = Component("Price", (Field("key", "Long"), Field("price", "Double", previous_name="amount"), Field("size", "Long"), Field("extra", "Int", index="unique")), revision=2)
 
+LAST = Component("Price", tuple(f for f in assign_ids(NEW, OLD).fields if f.name != "extra"), revision=3)
+
 
 @query("SELECT p_partkey AS key, p_retailprice::FLOAT::DOUBLE AS price, p_size::BIGINT AS size, 5 AS extra FROM part")
 def schema_evolution(t: Tables):
@@ -211,9 +255,47 @@ def schema_diff(t: Tables):
     return diagnostics.schema_diff(t.spark, OLD, NEW)
 
 
-@query("SELECT kind, count(*) AS n FROM (VALUES ('Added'), ('Removed'), ('Renamed'), ('TypeWidened'), ('TypeWidened'), ('SizeChanged'), ('SizeChanged'), ('OffsetChanged'), ('IndexRemoved')) AS v(kind) GROUP BY kind")
+@query(
+    "SELECT * FROM (VALUES ('Price', 1, 2, 'Renamed', 'price', 'InformationOnly'), ('Price', 1, 2, 'TypeWidened', 'price', 'CompatibleWidening'), ('Price', 1, 2, 'SizeChanged', 'price', 'Compatible'), ('Price', 1, 2, 'OffsetChanged', 'size', 'Compatible'), "
+    "('Price', 1, 2, 'TypeWidened', 'size', 'CompatibleWidening'), ('Price', 1, 2, 'SizeChanged', 'size', 'Compatible'), ('Price', 1, 2, 'IndexRemoved', 'size', 'Compatible'), ('Price', 1, 2, 'Removed', 'gone', 'Compatible'), ('Price', 1, 2, 'Added', 'extra', 'Compatible'), "
+    "('Price', 2, 3, 'Removed', 'extra', 'Compatible')) AS v(component, from_revision, to_revision, kind, field, level)"
+)
 def schema_history(t: Tables):
-    return diagnostics.schema_history(t.spark, [OLD, NEW]).groupBy("kind").agg(F.count("*").alias("n"))
+    """The changes of each revision against the one before."""
+    return diagnostics.schema_history(t.spark, [OLD, NEW, LAST])
+
+
+@query("SELECT * FROM (VALUES ('same', 'Identical', 'open'), ('widened', 'CompatibleWidening', 'project'), ('narrowed', 'Breaking', 'refuse'), ('narrowed with a migration', 'Breaking', 'migrate 2 to 4 to 5')) AS v(\"case\", level, action)")
+def schema_validate(t: Tables):
+    """What opening a store of one revision with another would do, told from the schemas alone."""
+    narrow = Component("Price", tuple(Field(f.name, "Int" if f.name == "size" else f.type, index=f.index) for f in NEW.fields), revision=5)
+    m = Migrations()
+    m.register("Price", 2, 4, lambda df: df)
+    m.register("Price", 4, 5, lambda df: df)
+    new = assign_ids(NEW, OLD)
+    cases = {"same": (OLD, OLD, None), "widened": (OLD, NEW, None), "narrowed": (new, narrow, None), "narrowed with a migration": (new, narrow, m)}
+    return t.spark.createDataFrame([(name, *validate(*c)) for name, c in cases.items()], "`case` string, level string, action string")
+
+
+PAIRS = "Byte>Short Byte>Int Byte>Long Short>Int Short>Long Int>Long UByte>UShort UByte>UInt UByte>ULong UShort>UInt UShort>ULong UInt>ULong UByte>Short UByte>Int UByte>Long UShort>Int UShort>Long UInt>Long Float>Double".split()
+WIDE = "QuaternionF>QuaternionD Point2F>Point2D Point3F>Point3D Point4F>Point4D String64>String1024".split()
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', 'CompatibleWidening', '100{'.0' if p == 'Float>Double' else ''}')" for p in PAIRS) + ", " + ", ".join(f"('{p}', 'CompatibleWidening', '{'text' if p[0] == 'S' else '1.0,2.0,3.0,4.0'[: 4 * (2 if '2' in p else 3 if '3' in p else 4) - 1]}')" for p in WIDE) + ") AS v(pair, level, value)")
+def widening_casts(t: Tables):
+    """A value through every lossless widening."""
+    out = None
+    for pair in PAIRS + WIDE:
+        a, b = pair.split(">")
+        old, new = assign_ids(Component("C", (Field("v", a),))), Component("C", (Field("v", b),), revision=2)
+        kind = old["v"].spark_type
+        parts = [f.name for f in getattr(kind, "fields", [])]
+        value = F.struct(*[F.lit(float(i + 1)).alias(n) for i, n in enumerate(parts)]) if parts else F.lit("text" if a.startswith("String") else 100)
+        got = evolve(t.spark.range(1).select(value.cast(kind).alias("v")), old, new).select(F.col("v"))
+        text = F.concat_ws(",", *[F.col("v")[n].cast("string") for n in parts]) if parts else F.col("v").cast("string")
+        row = got.select(F.lit(pair).alias("pair"), F.lit(level(compare(old, new))).alias("level"), text.alias("value"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN round(c_acctbal * 100) END::BIGINT AS cents, CASE WHEN c_acctbal < 0 THEN 'ValueError: owes' END AS error FROM customer")
@@ -239,12 +321,14 @@ def migration_chain(t: Tables):
     return m.migrate(t.customer.select("c_custkey", F.col("c_acctbal").alias("v")), "V", 1, 4)
 
 
-@query("SELECT 'Account' AS component, 1 AS revision, 2 AS fields UNION ALL SELECT 'Nation', 1, 2")
+@query("SELECT * FROM (VALUES ('Account', 1, 'balance', 'Double', 8, 'multi', NULL), ('Account', 1, 'nation', 'Int', 4, 'multi', 'Nation'), ('Nation', 1, 'key', 'Int', 4, 'unique', NULL), ('Nation', 1, 'region', 'Int', 4, 'multi', NULL)) AS v(component, revision, field, type, size, \"index\", \"references\")")
 def schema_export(t: Tables):
+    """The exported JSON, read again."""
     import json
 
     rows = [json.loads(schema_json(REGISTRY.components[c])) for c in ("Account", "Nation")]
-    return t.spark.createDataFrame([(r["component"], r["revision"], len(r["fields"])) for r in rows], "component string, revision int, fields int")
+    each = [(r["component"], r["revision"], f["name"], f["type"], f["size"], f["index"], f["references"]) for r in rows for f in r["fields"]]
+    return t.spark.createDataFrame(each, "component string, revision int, field string, type string, size int, index string, references string")
 
 
 @query("SELECT * FROM (VALUES ('Account', 'balance', 'Double', 'multi', NULL), ('Account', 'nation', 'Int', 'multi', 'Nation'), ('Nation', 'key', 'Int', 'unique', NULL), ('Nation', 'region', 'Int', 'multi', NULL)) AS v(component, field, type, \"index\", \"references\")")
@@ -268,9 +352,9 @@ def list_archetypes(t: Tables):
     return diagnostics.archetypes(world(t))
 
 
-@query("SELECT (c_custkey * 4096 + 2)::BIGINT AS entity_id, 'Customer' AS archetype, 'Account' AS component, c_acctbal >= 0 AS enabled FROM customer WHERE c_custkey = 9 UNION ALL SELECT (c_custkey * 4096 + 2)::BIGINT, 'Customer', 'Segment', c_mktsegment <> 'BUILDING' FROM customer WHERE c_custkey = 9")
+@query("""SELECT (c_custkey * 4096 + 2)::BIGINT AS entity_id, 'Customer' AS archetype, 'Account' AS component, c_acctbal >= 0 AS enabled, '{"balance":' || c_acctbal || ',"nation":' || c_nationkey || '}' AS value FROM customer WHERE c_custkey = 9 UNION ALL SELECT (c_custkey * 4096 + 2)::BIGINT, 'Customer', 'Segment', c_mktsegment <> 'BUILDING', '{"segment":"' || c_mktsegment || '"}' FROM customer WHERE c_custkey = 9""")
 def entity_info(t: Tables):
-    return diagnostics.entity_info(world(t), 9 * 4096 + 2).drop("value")
+    return diagnostics.entity_info(world(t), 9 * 4096 + 2)
 
 
 @query("SELECT '{\"s_suppkey\":' || s_suppkey || ',\"s_name\":\"' || s_name || '\"}' AS line FROM supplier")

@@ -34,7 +34,7 @@ def moved(t: Tables):
     return t.part.select("p_partkey", (place_x() + F.col("p_partkey") % 5 * 20).alias("x"), (place_y() + F.col("p_partkey") % 7 * 30).alias("y"))
 
 
-def occupants(items, t: Tables):
+def inside(items, t: Tables):
     return spatial.overlap_join(items, regions(t), GRID, Box.of("x", "y", "x", "y"), Box.of("rx0", "ry0", "rx1", "ry1"), "p_partkey", "region_id")
 
 
@@ -118,7 +118,7 @@ def category_filter(t: Tables):
 def static_and_dynamic(t: Tables):
     """Two sets of different mobility, each with its own test, as one result."""
     p = world(t).query("Part").read("Place").select("entity_id", "Place.*")
-    return p.where("category < 4 and x < 200").select("entity_id").union(p.where("category >= 4 and x < 100").select("entity_id"))
+    return spatial.in_both(p.where("category < 4"), p.where("category >= 4"), F.col("x") < 100, F.col("x") < 200).select("entity_id")
 
 
 @query(f"SELECT p_partkey, least(floor(x / 50)::INTEGER, 31) AS cx, least(floor(y / 50)::INTEGER, 31) AS cy, ({MORTON.format(x='least(floor(x / 50)::INTEGER, 31)', y='least(floor(y / 50)::INTEGER, 31)')})::BIGINT AS cell FROM {BEFORE}")
@@ -143,7 +143,7 @@ def grid_broadphase(t: Tables):
 
 @query(f"SELECT region_id, p_partkey FROM {REGIONS}, {BEFORE} WHERE {INSIDE}")
 def region_overlap(t: Tables):
-    return occupants(places(t), t)
+    return inside(places(t), t)
 
 
 @query(f"""
@@ -151,7 +151,7 @@ WITH b AS (SELECT region_id, p_partkey FROM {REGIONS}, {BEFORE} WHERE {INSIDE}),
 SELECT coalesce(a.region_id, b.region_id) AS region_id, coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.region_id IS NULL THEN 'entered' WHEN a.region_id IS NULL THEN 'left' ELSE 'stayed' END AS change
 FROM a FULL JOIN b ON a.region_id = b.region_id AND a.p_partkey = b.p_partkey""")
 def region_enter_leave(t: Tables):
-    return spatial.region_changes(occupants(places(t), t), occupants(moved(t), t), "region_id", "p_partkey")
+    return spatial.region_changes(inside(places(t), t), inside(moved(t), t), "region_id", "p_partkey")
 
 
 @query(f"""
@@ -160,11 +160,10 @@ c AS (SELECT coalesce(a.region_id, b.region_id) AS region_id, a.p_partkey AS n,
 SELECT region_id, count(*) FILTER (WHERE o IS NULL) AS entered, count(*) FILTER (WHERE n IS NULL) AS "left", count(*) FILTER (WHERE n IS NOT NULL AND o IS NOT NULL) AS stayed FROM c WHERE region_id % 3 = 0 GROUP BY region_id""")
 def region_triggers(t: Tables):
     """Regions that are due: every third tick for a third of them."""
-    c = spatial.region_changes(occupants(places(t), t), occupants(moved(t), t), "region_id", "p_partkey")
+    c = spatial.region_changes(inside(places(t), t), inside(moved(t), t), "region_id", "p_partkey")
     known = regions(t).select("region_id", F.lit(3).alias("frequency"), F.when(F.col("region_id") % 3 == 0, 7).otherwise(9).alias("last_tick"))
     due = spatial.due_regions(known, 10).select("region_id")
-    r = spatial.trigger_results(c.join(due, "region_id", "left_semi"), "region_id", "p_partkey")
-    return r.select("region_id", F.size("entered").cast("long").alias("entered"), F.size("left").cast("long").alias("left"), "stayed")
+    return spatial.trigger_results(c.join(due, "region_id", "left_semi"), "region_id", "p_partkey")
 
 
 @query(f"""
@@ -192,7 +191,7 @@ def tier_assignment(t: Tables):
 @query(f"SELECT (floor(y / 50)::INTEGER % 3)::INTEGER AS tier, count(*) AS n FROM {BEFORE} GROUP BY 1")
 def tier_index(t: Tables):
     """Entities of each tier."""
-    return places(t).groupBy((GRID.cell_y("y") % 3).alias("tier")).agg(F.count("*").alias("n"))
+    return spatial.tier_index(places(t), GRID.cell_y("y") % 3)
 
 
 @query(f"""
@@ -208,10 +207,7 @@ def cell_migration(t: Tables):
 @query(f"SELECT (p_partkey // 64)::BIGINT AS cluster, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, bit_or(p_partkey % 8)::BIGINT AS category FROM {BEFORE} GROUP BY 1")
 def cluster_bounds(t: Tables):
     """The union of the boxes and categories of each cluster."""
-    p = places(t)
-    return p.groupBy(F.floor(F.col("p_partkey") / 64).cast("long").alias("cluster")).agg(
-        F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.bit_or(F.col("p_partkey") % 8).alias("category")
-    )
+    return spatial.cluster_bounds(places(t), F.floor(F.col("p_partkey") / 64).cast("long"), Box.of("x", "y", "x", "y"), F.col("p_partkey") % 8)
 
 
 @query("""
@@ -224,3 +220,44 @@ def box_measures(t: Tables):
     return t.lineitem.where(b.overlaps(r)).select(
         "l_orderkey", "l_linenumber", F.round(inner.measure(), 6).alias("width"), r.contains(b).alias("inside"), F.round(b.center_distance2((25.0, 100.0)), 4).alias("center2"), F.round(b.sphere()[1], 6).alias("sphere"), F.round(b.measure(), 6).alias("area")
     )
+
+
+@query(f"SELECT region_id, p_partkey, (p_partkey // 64)::BIGINT AS chunk FROM {REGIONS}, {BEFORE} WHERE {INSIDE}")
+def region_occupants(t: Tables):
+    """Who is in each region, with the chunk that holds the entity."""
+    return spatial.occupants(places(t), regions(t), GRID, Box.of("x", "y", "x", "y"), Box.of("rx0", "ry0", "rx1", "ry1"), "p_partkey", "region_id", F.floor(F.col("p_partkey") / 64).cast("long"))
+
+
+@query(f"""
+WITH o AS (SELECT region_id AS observer_id, rx0, ry0, rx1, ry1 FROM {REGIONS})
+SELECT observer_id, p_partkey AS entity_id, FALSE AS is_full_sync FROM o, {AFTER} WHERE {INSIDE} AND p_partkey % 3 = 1""")
+def interest_next(t: Tables):
+    """Observers, one of them long behind, hear all up to a tick; at the next tick they hear that tick's changes only."""
+    obs = regions(t).select(F.col("region_id").alias("observer_id"), F.when(F.col("region_id") % 3 == 2, 10).otherwise(95).alias("last_tick"), F.lit(0).alias("mask"), "rx0", "ry0", "rx1", "ry1")
+    items = moved(t).withColumnRenamed("p_partkey", "entity_id")
+    old = t.part.where("p_partkey % 3 <> 1").select(F.col("p_partkey").alias("entity_id"), F.lit(99).alias("tick"))
+    new = t.part.where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("entity_id"), F.lit(101).alias("tick"))
+    boxes = Box.of("x", "y", "x", "y"), Box.of("rx0", "ry0", "rx1", "ry1")
+    return spatial.observer_updates(spatial.advance(obs, 100), items, old.union(new), 101, GRID, *boxes)
+
+
+@query(f"""
+WITH c AS (SELECT DISTINCT floor(x / 50)::INTEGER AS cx, floor(y / 50)::INTEGER AS cy FROM {BEFORE}),
+a AS (SELECT *, CASE WHEN cx BETWEEN 2 AND 9 AND cy BETWEEN 1 AND 8 THEN 0 ELSE 3 END AS t1 FROM c), b AS (SELECT *, CASE WHEN cx BETWEEN 4 AND 12 AND cy BETWEEN 0 AND 20 THEN least(t1, 1) ELSE t1 END AS t2 FROM a)
+SELECT ({MORTON.format(x='cx', y='cy')})::BIGINT AS cell_key, (CASE WHEN cx = 5 THEN 2 ELSE t2 END)::INTEGER AS tier FROM b""")
+def set_tiers(t: Tables):
+    """Tiers reset, set in a box, lowered in another, and set for a column of cells."""
+    cells = spatial.reset_tiers(places(t).select(GRID.key("x", "y").alias("cell_key")).distinct(), 3)
+    cells = spatial.set_tier_in_box(cells, GRID, (100, 50, 499, 449), 0)
+    cells = spatial.set_tier_in_box(cells, GRID, (200, 0, 649, 1049), 1, least=True)
+    return spatial.set_tier(cells, 2, morton_x("cell_key") == 5)
+
+
+@query(f"""
+SELECT region_id, (rx1 - rx0) * (ry1 - ry0) * 10 AS volume, FALSE AS flat, (rx1 - rx0 + 5) AS union_width, sqrt(power(rx1 - rx0, 2) + power(ry1 - ry0, 2) + 100) / 2 AS radius FROM {REGIONS}""")
+def box_measures_3d(t: Tables):
+    """Boxes of three axes: volume, union with another box, and the sphere around them."""
+    b = Box.of("rx0", "ry0", F.lit(0.0), "rx1", "ry1", F.lit(10.0))
+    wide = b.union(Box.of(F.col("rx0") - 5, "ry0", F.lit(0.0), "rx1", "ry1", F.lit(10.0)))
+    flat = b.is_degenerate()
+    return regions(t).select("region_id", b.measure().alias("volume"), flat.alias("flat"), (wide.high[0] - wide.low[0]).alias("union_width"), b.sphere()[1].alias("radius"))

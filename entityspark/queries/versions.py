@@ -126,20 +126,20 @@ def unique_violation(t: Tables):
     return store.unique_violations(t.orders, "o_custkey")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r FROM orders WHERE o_totalprice BETWEEN 50000 AND 60000) WHERE r <= 500")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 50000 AND 60000")
 def index_range(t: Tables):
-    return store.index_range(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 50000, 60000, tie="o_orderkey").limit(500)
+    return store.index_range(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 50000, 60000, tie="o_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (ORDER BY l_quantity DESC, l_orderkey * 10 + l_linenumber) AS r FROM lineitem WHERE l_quantity <= 30) WHERE r <= 200")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity <= 30")
 def index_range_descending(t: Tables):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
-    return store.index_range(rows, "l_quantity", None, 30, descending=True, tie="k").limit(200).drop("k")
+    return store.index_range(rows, "l_quantity", None, 30, descending=True, tie="k").drop("k")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 17")
 def index_point(t: Tables):
-    return t.orders.where("o_custkey = 17").select("o_orderkey", "o_custkey")
+    return store.index_point(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", 17)
 
 
 @query("SELECT min(o_totalprice) AS min_key, max(o_totalprice) AS max_key FROM orders")
@@ -154,9 +154,8 @@ def index_stream(t: Tables):
     return store.index_range(h, "o_custkey", 100, 120, tie="o_orderkey").select(F.col("o_orderkey").alias("pk"), F.col("o_custkey").alias("key"), "o_totalprice")
 
 
-@query("SELECT l_orderkey, count(*) AS n, sum(l_linenumber)::BIGINT + 99 AS total FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS at, l_linenumber AS value FROM lineitem UNION ALL SELECT l_orderkey, count(*), 99 FROM lineitem GROUP BY l_orderkey")
 def collections(t: Tables):
-    """Lists of values in a field: appended to, counted, taken apart."""
-    lists = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("xs"))
-    more = lists.withColumn("ys", F.array_append("xs", 99))
-    return more.select("l_orderkey", F.size("xs").cast("long").alias("n"), F.aggregate("ys", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    """Lists of values in a field: gathered, appended to, taken apart."""
+    lists = store.collect_values(t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("int").alias("v")), "l_orderkey", "v", "xs")
+    return store.elements(store.append(lists, "xs", 99), "l_orderkey", "xs", "value").withColumn("at", F.col("at").cast("long"))

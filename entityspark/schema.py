@@ -260,6 +260,16 @@ def level(changes: Iterable[Change]) -> str:
     return LEVELS[max((LEVELS.index(c.level) for c in changes), default=0)]
 
 
+def validate(old: Component, new: Component, migrations: Migrations | None = None) -> tuple[str, str]:
+    """(level, what opening a store of old with new would do): nothing, a projection, a migration that is registered, or a
+    refusal. No rows are read."""
+    worst = level(compare(old, new))
+    if worst == "Breaking":
+        path = migrations.path(new.name, old.revision, new.revision) if migrations is not None else None
+        return worst, "refuse" if path is None else "migrate " + " to ".join(map(str, path))
+    return worst, "open" if worst == LEVELS[0] else "project"
+
+
 def evolve(df: DataFrame, old: Component, new: Component, defaults: dict[str, object] | None = None, strict: bool = True) -> DataFrame:
     """Rows of old as rows of new, by field id: renamed, widened and added fields in one projection.
 

@@ -17,7 +17,8 @@ def live_view(changes: DataFrame, key: str, order: str, inside: Column) -> DataF
     """(key, order, kind) of a view over a stream of changes (key, order, op, ...): a key's state is whether it is in
     the view and the last order seen; older changes that come late are ignored.
 
-    One row of state a key, in the state store; changes of a batch are taken in order.
+    One row of state a key, in the state store; changes of a batch are taken in order, for which a key's rows of one
+    micro-batch are held at a time.
     """
     kind = dict(changes.dtypes)[key]
 
@@ -53,8 +54,10 @@ def sessions(events: DataFrame, ts: str, gap: str, keys: list[str], late: str |
     return e.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and give the result, for tests and backfills."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there, to a table in a folder that driver and executors share, and read that."""
+    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if q.exception() is not None:
+        raise q.exception()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -293,3 +293,119 @@ def test_stream_ticks(spark, tmp_path):
     assert sorted(seen) == [[0, 1, 2], [10, 11, 12]] and rt.tick == 2
     subscriptions.sink(f"{tmp_path}/out", "v")(view, 3)
     assert spark.read.parquet(f"{tmp_path}/out").where("tick = 3").count() == 100
+
+
+def test_ranks_of_many_rows(spark):
+    """2,000,000 rows over many ranges: dense ids, full batches, right ticks and positions."""
+    from pyspark.sql import functions as F
+
+    from entityspark.operators import ranges, store, traces
+    from entityspark.streaming import subscriptions
+
+    n, old = 2_000_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        rows = spark.range(n, numPartitions=23).select((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) * n + F.col("id")).alias("k"), F.concat(F.lit("wide " * 8), F.col("id").cast("string")).alias("name"))
+        made = store.spawn(rows, 3, 1000, ["k"], 7)
+        assert made.select(F.count_distinct("entity_id"), F.min("entity_id"), F.max("entity_id")).first() == (n, 1000 * 4096 + 3, (1000 + n - 1) * 4096 + 3)
+        sync = subscriptions.initial_sync(rows, "k", 1000).groupBy("batch").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("batch").collect()
+        assert len(sync) == n // 1000 and all(r["n"] == 1000 for r in sync) and all(a["high"] < b["low"] for a, b in zip(sync, sync[1:]))
+        events = spark.range(n, numPartitions=23).select(F.col("id").alias("ts"), F.lit("x" * 40).alias("name"))
+        starts = spark.range(0, n, 1009).select(F.col("id").alias("ts"), (F.col("id") / 1009 + 1).cast("int").alias("tick"))
+        got = traces.assign_ticks(events, starts)
+        assert got.count() == n and got.where(F.col("tick") != F.floor(F.col("ts") / 1009) + 1).count() == 0
+        lag = ranges.lagged(events, "ts", "ts", "before")
+        assert lag.where(F.col("before") == F.col("ts") - 1).count() == n - 1
+        p = ranges.nth(events.select(F.pmod("ts", F.lit(1_500_000)).alias("v")), "v", 0.95, [])
+        v = sorted([*range(1_500_000), *range(500_000)])
+        assert [r["p"] for r in p.collect()] == [v[int(0.95 * n)]]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_nth_of_groups(spark):
+    from entityspark.operators import traces
+
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.choice([1, 1, 1, 2, 5, 9, 30])) for _ in range(500)] + [("d", 4), (None, 3)]
+    df = spark.createDataFrame(rows, "name string, part int")
+    got = {r["name"]: r["p"] for r in traces.nth_of("part", 0.95, ["name"], df).collect() if r["name"] is not None}
+    for name in "abcd":
+        v = sorted(x for m, x in rows if m == name)
+        assert got[name] == v[min(int(0.95 * len(v)), len(v) - 1)]
+
+
+def test_ties_are_settled(spark):
+    from entityspark.operators import store, views
+
+    rows = [(1, 5, True, "b", 2), (1, 5, True, "a", 9), (1, 4, True, "z", 1), (2, 1, False, "q", 0), (2, 1, True, "p", 0)]
+    df = spark.createDataFrame(rows, "id int, tsn int, active boolean, name string, n int")
+    for parts in (1, 3):
+        got = sorted(tuple(r) for r in store.latest(df.repartition(parts), ["id"]).select("id", "name", "n").collect())
+        assert got == [(1, "b", 2), (2, "p", 0)]
+    d = spark.createDataFrame([(1, 7, "Removed"), (1, 7, "Added"), (2, 3, "Modified"), (2, 3, "Removed")], "id int, at int, kind string")
+    for parts in (1, 4):
+        assert sorted(tuple(r) for r in views.compact(d.repartition(parts), "id", "at").collect()) == [(2, "Removed")]
+
+
+def test_long_variants_and_great_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from entityspark.functions import scalars
+    from entityspark.operators import statistics
+
+    text = "x" * ((1 << 20) + 77)
+    df = spark.createDataFrame([(text,)], "t string").select(scalars.variant("t", "String").alias("v"))
+    assert df.select(F.length(scalars.variant_as("v", "String")).alias("n")).first()["n"] == len(text)
+    big = spark.createDataFrame([(2**53, 0.5), (2**53 + 1, 0.5), (2**53 + 1, None)], "a long, b double")
+    made = statistics.rebuild(big, ["a", "b"])
+    got = {r["field"]: (r["n"], r["n_distinct"], r["commonest_n"]) for r in made.summary.collect()}
+    assert got == {"a": (3, 2, 2), "b": (2, 1, 2)}
+
+
+def test_sampled_statistics(spark):
+    from entityspark.operators import statistics
+
+    df = spark.range(60_000).selectExpr("id % 7 as a", "id / 10.0 as b")
+    keeper = statistics.Keeper()
+    keeper.note("t", 1000)
+    assert keeper.poll({"t": (lambda: df, ["a", "b"])}) == ["t"] and keeper.poll({"t": (lambda: df, ["a", "b"])}) == []
+    made = keeper.known["t"]
+    for r in made.summary.collect():
+        assert abs(r["n"] - 60_000) < 3000
+    common = made.common.where("field = 'a'").collect()
+    assert len(common) == 7 and all(abs(r["n"] - 60_000 / 7) < 1200 for r in common)
+
+
+def test_buffer(spark):
+    from entityspark.operators import views
+
+    rows = lambda xs: spark.createDataFrame(xs, "id long, x int, op string")
+    state = rows([(1, 5, "write"), (2, 50, "write")])
+    v = views.View("id", lambda df: df.where("x > 10"))
+    v.refresh(state)
+    b = views.DeltaBuffer(v, capacity=3)
+    assert b.flush(state).count() == 0
+    b.push(rows([(1, 20, "write")]))
+    b.push(rows([(1, 5, "write"), (2, 60, "write")]))
+    now = rows([(1, 5, "write"), (2, 60, "write")])
+    assert sorted(tuple(r) for r in b.flush(now).collect()) == [(2, "Modified")]
+    b.push(rows([(1, 20, "write"), (3, 20, "write"), (4, 20, "write"), (5, 20, "write")]))
+    assert b.overflowed
+    now = rows([(1, 20, "write"), (2, 60, "write"), (3, 20, "write"), (4, 20, "write"), (5, 20, "write")])
+    assert sorted(tuple(r) for r in b.flush(now).collect()) == [(1, "Added"), (3, "Added"), (4, "Added"), (5, "Added")] and not b.overflowed
+
+
+def test_late_rows_and_sliding_windows(spark, tmp_path):
+    from entityspark.streaming import live
+
+    schema = "ts timestamp, name string, value double"
+    rows = lambda xs: spark.createDataFrame(xs, "ts string, name string, value double").selectExpr("cast(ts as timestamp) as ts", "name", "value")
+    day = "2024-01-01 "
+    for batch in ([(day + "00:10:00", "a", 1.0), (day + "00:20:00", "a", 2.0)], [(day + "09:00:00", "a", 3.0)], [(day + "09:05:00", "a", 0.0)], [(day + "00:30:00", "a", 99.0), (day + "09:10:00", "a", 4.0)], [(day + "23:00:00", "a", 5.0)]):
+        rows(batch).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = live.tumbling(live.change_stream(spark, f"{tmp_path}/in", schema), "ts", "1 hour", ["name"], late="2 hours")
+    got = {r["start"].hour: (r["n"], r["total"]) for r in live.drain(stream, f"{tmp_path}/out").collect()}
+    assert got[0] == (2, 3.0) and got[9] == (3, 7.0)  # the row of 00:30 came after its window had closed
+    slid = live.tumbling(rows([(day + "01:10:00", "a", 1.0)]), "ts", "1 hour", ["name"], slide="30 minutes").collect()
+    assert sorted((r["start"].hour, r["start"].minute, r["n"]) for r in slid) == [(0, 30, 1), (1, 0, 1)]
