@@ -88,19 +88,22 @@ def nearest(df: DataFrame, box: Box, at: tuple, k: int, id_col: str) -> DataFram
     return d.where(~F.isnan("distance2")).orderBy("distance2", id_col).limit(k)
 
 
-def nearest_each(df: DataFrame, probes: DataFrame, grid: Grid, x: str, y: str, px: str, py: str, k: int, id_col: str, probe_id: str) -> DataFrame:
+def nearest_each(df: DataFrame, probes: DataFrame, grid: Grid, x: str, y: str, px: str, py: str, k: int, id_col: str, probe_id: str, salts: int = SALTS) -> DataFrame:
     """(probe_id, rank, id, distance2): the k points closest to each probe.
 
-    Probes look at rings of cells, doubling the reach until k points are surely found: points within the reach are
-    complete, so a probe is done once its k-th distance is inside it. All rounds are equi-joins on cells; at the end
-    the reach covers the grid, which gives probes of sparse places all points, so none is lost.
+    Probes look around them with a reach that grows until k points are surely found: points within the reach are
+    complete, so a probe is done once its k-th distance is inside it. Each round's cells are as wide as its reach, so a
+    probe looks at nine at most; all rounds are equi-joins on cells, of which the points are dealt over `salts` parts;
+    at the end the reach covers the grid, which gives probes of sparse places all points, so none is lost.
     """
-    points = df.select(F.col(id_col).alias("__id"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).withColumn("__cell", grid.key("__x", "__y"))
+    points = df.select(F.col(id_col).alias("__id"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)))
     open_ = probes.select(probe_id, F.col(px).cast("double").alias("__px"), F.col(py).cast("double").alias("__py"))
     reach, done, whole = 1, None, max(grid.width, grid.height)
     while True:
         box = Box.of(F.col("__px") - reach * grid.cell, F.col("__py") - reach * grid.cell, F.col("__px") + reach * grid.cell, F.col("__py") + reach * grid.cell)
-        near = open_.withColumn("__cell", F.explode(grid.cells(box))).join(points, "__cell")
+        wide = Grid(grid.min_x, grid.min_y, grid.cell * reach, -(-grid.width // reach), -(-grid.height // reach))
+        looking = open_.withColumn("__cell", F.explode(wide.cells(box))).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+        near = looking.join(points.withColumn("__cell", wide.key("__x", "__y")), ["__cell", "__salt"])
         near = near.withColumn("distance2", (F.col("__x") - F.col("__px")) ** 2 + (F.col("__y") - F.col("__py")) ** 2)
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(probe_id).orderBy("distance2", "__id"))).where(F.col("rank") <= k)
         sure = F.lit((reach * grid.cell) ** 2)
