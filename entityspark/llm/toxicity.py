@@ -29,6 +29,8 @@ from .common import WORD, table
 SAMPLE = 2000
 BITS = 18
 SEGMENT = 64
+#: Words of a chain that are stepped through one by one.
+PART = 16_384
 #: A word counts as toxic in training if some part of it is so many times likelier in toxic documents, and so surely
 #: that chance would give less than one such part among all.
 RATIO = 10.0
@@ -60,39 +62,95 @@ class Field:
         return float(np.exp(np.clip(self.weights[features(word)].sum(), -30, 30)))
 
 
-def marginals(r: np.ndarray, lengths: np.ndarray, moves: np.ndarray, full: bool = False):
+def marginals(r: np.ndarray, lengths: np.ndarray, moves: np.ndarray, full: bool = False, part: int = PART):
     """Each word's chance of label 1; r: the words' own odds, document after document. full: with the forward and
     backward odds.
 
-    Documents advance together, longest first, so that a step touches those that are still running. An empty document
-    has no entries.
+    Chains advance together, longest first, so that a step touches those that are still running. An empty document has
+    no entries. A document of more than `part` words runs as chains of that many: the recursion over a part is a
+    fraction of two linear forms of what enters it, so the parts are composed side by side, what enters each follows
+    from those before it, and the steps are in proportion to `part`, not to the longest document.
     """
-    order = np.argsort(-lengths, kind="stable")
-    lens = lengths[order]
-    starts = (np.cumsum(lengths) - lengths)[order]
-    running = np.searchsorted(-lens, -np.arange(int(lens[0]) if len(lens) else 0), side="left")  # documents longer than step t
     (t00, t01), (t10, t11) = moves
+    ahead, back = np.array([[t11, t01], [t10, t00]]), np.array([[t11, t10], [t01, t00]])
+    begins = np.cumsum(lengths) - lengths
+    cuts = [np.arange(s, s + n, part) for s, n in zip(begins.tolist(), lengths.tolist()) if n > part]
+    # A word's forward odds are its own times what the word before sends on; the backward ones are what the next sends.
+    if not cuts:
+        forward, backward = _run(r, begins, lengths, ahead, back, None, None)
+    else:
+        starts = np.sort(np.concatenate([begins[lengths <= part], *cuts]))
+        sizes = np.diff(np.append(starts, lengths.sum()))
+        starts, sizes = starts[sizes > 0], sizes[sizes > 0]
+        first = np.isin(starts, begins[lengths > 0])
+        last = np.append(first[1:], True)
+        enter, leave = np.ones(len(starts)), np.ones(len(starts))
+        go, come = _composed(r, starts, sizes, first, last, ahead, back)
+        for k in np.flatnonzero(~first).tolist():
+            enter[k] = _fraction(ahead, _fraction(go[k - 1], enter[k - 1]))
+        for k in np.flatnonzero(~last)[::-1].tolist():
+            leave[k] = _fraction(come[k + 1], leave[k + 1])
+        forward, backward = _run(r, starts, sizes, ahead, back, enter, leave)
+    p = forward * backward
+    p /= 1 + p
+    return (p, forward, backward) if full else p
+
+
+def _fraction(m: np.ndarray, x: float) -> float:
+    return float(np.clip((m[0, 0] * x + m[0, 1]) / (m[1, 0] * x + m[1, 1]), 1e-12, 1e12))
+
+
+def _steps(sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Chains, the longest first, and the number of them that reach each step."""
+    order = np.argsort(-sizes, kind="stable")
+    lens = sizes[order]
+    running = np.searchsorted(-lens, -np.arange(int(lens[0]) if len(lens) else 0), side="left")
+    return order, running.tolist()
+
+
+def _run(r: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ahead: np.ndarray, back: np.ndarray, enter: np.ndarray | None, leave: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward odds of chains, given what enters them at both ends."""
+    order, running = _steps(sizes)
+    at0 = starts[order]
     forward, backward = np.empty_like(r), np.empty_like(r)
-    f = np.empty(len(lens))
-    for t, k in enumerate(running.tolist()):
-        at = starts[:k] + t
-        g = f[:k]
-        f[:k] = r[at] * ((g * t11 + t01) / (g * t10 + t00) if t else 1.0)
-        np.clip(f[:k], 1e-12, 1e12, out=f[:k])
+    f = np.ones(len(order)) if enter is None else enter[order]
+    for t, k in enumerate(running):
+        at, g = at0[:k] + t, f[:k]
+        if t:
+            g = (ahead[0, 0] * g + ahead[0, 1]) / (ahead[1, 0] * g + ahead[1, 1])
+        f[:k] = np.clip(r[at] * g, 1e-12, 1e12)
         forward[at] = f[:k]
-    b = np.ones(len(lens))
+    b = np.ones(len(order)) if leave is None else leave[order]
     last = 0
     for t in range(len(running) - 1, -1, -1):
-        k = int(running[t])
-        at = starts[:k] + t
+        k = running[t]
+        at = at0[:k] + t
         if last:
             x = r[at[:last] + 1] * b[:last]
-            b[:last] = np.clip((t11 * x + t10) / (t01 * x + t00), 1e-12, 1e12)
+            b[:last] = np.clip((back[0, 0] * x + back[0, 1]) / (back[1, 0] * x + back[1, 1]), 1e-12, 1e12)
         backward[at] = b[:k]
         last = k
-    p = forward * backward
-    p /= 1 + p
-    return (p, forward, backward) if full else p
+    return forward, backward
+
+
+def _composed(r: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.ndarray, ahead: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each chain the fraction that makes its last forward odds of what enters it, and the one that makes what it sends
+    back to the word before it of what its last word gets. Each step multiplies from one side and is scaled to 1."""
+    order, running = _steps(sizes)
+    at0 = starts[order]
+    go = np.tile(np.eye(2), (len(order), 1, 1))
+    come = np.tile(np.eye(2), (len(order), 1, 1))
+    for t, k in enumerate(running):
+        own = r[at0[:k] + t]
+        m = ahead @ go[:k] if t else go[:k]
+        m[:, 0] *= own[:, None]
+        go[:k] = m / m.max((1, 2), keepdims=True)
+        w = come[:k] @ back
+        w[:, :, 0] *= own[:, None]
+        come[:k] = w / w.max((1, 2), keepdims=True)
+    out, home = np.empty_like(go), np.empty_like(come)
+    out[order], home[order] = go, come
+    return out, home
 
 
 def expected_moves(r: np.ndarray, forward: np.ndarray, backward: np.ndarray, begins: np.ndarray, moves: np.ndarray) -> np.ndarray:

@@ -31,6 +31,16 @@ def test_marginals():
     assert np.allclose(x.expected_moves(r, forward, backward, begins, moves), pairs)
 
 
+def test_long_chains_in_parts():
+    rng = np.random.default_rng(7)
+    lengths = np.array([5000, 3, 0, 701, 700, 12_000, 1])
+    r, moves = rng.gamma(0.3, 2.0, lengths.sum()) + 1e-9, np.array([[1.0, 0.05], [0.3, 0.8]])
+    whole, parts = x.marginals(r, lengths, moves, full=True), x.marginals(r, lengths, moves, full=True, part=700)
+    for a, b in zip(whole, parts):
+        assert np.allclose(a, b, rtol=1e-6, atol=1e-12)
+    assert len(x.marginals(np.zeros(0), np.array([0, 0]), moves)) == 0
+
+
 def test_cases(spark):
     rng = random.Random(6)
     filler = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(8))
