@@ -254,7 +254,7 @@ def set_tiers(t: Tables):
 
 
 @query(f"""
-SELECT region_id, (rx1 - rx0) * (ry1 - ry0) * 10 AS volume, FALSE AS flat, (rx1 - rx0 + 5) AS union_width, sqrt(power(rx1 - rx0, 2) + power(ry1 - ry0, 2) + 100) / 2 AS radius FROM {REGIONS}""")
+SELECT region_id, ((rx1 - rx0) * (ry1 - ry0) * 10)::DOUBLE AS volume, FALSE AS flat, (rx1 - rx0 + 5)::DOUBLE AS union_width, sqrt(power(rx1 - rx0, 2) + power(ry1 - ry0, 2) + 100) / 2 AS radius FROM {REGIONS}""")
 def box_measures_3d(t: Tables):
     """Boxes of three axes: volume, union with another box, and the sphere around them."""
     b = Box.of("rx0", "ry0", F.lit(0.0), "rx1", "ry1", F.lit(10.0))
