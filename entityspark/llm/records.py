@@ -29,7 +29,7 @@ END = 2
 #: A shard is closed beyond this many bytes; it bounds what a reader holds.
 SHARD_BYTES = 32 << 20
 #: Texts are encoded in groups of about so many characters, and so many distinct pieces are remembered.
-GROUP_CHARS, WORDS = 1 << 22, 500_000
+GROUP_CHARS, WORDS = 1 << 21, 400_000
 _MASK = 0xA282EAD8
 _SPACE, _LETTER, _MARK, _TAIL, _OTHER = 1, 2, 3, 4, 0
 

@@ -30,14 +30,14 @@ SAMPLE = 2000
 BITS = 18
 SEGMENT = 64
 #: Words of a chain that are stepped through one by one.
-PART = 16_384
+PART = 2048
 #: A word counts as toxic in training if some part of it is so many times likelier in toxic documents, and so surely
 #: that chance would give less than one such part among all.
 RATIO = 10.0
 #: Parameters of fit: chances below the first count as 0 in a document's sum and mean, and with fewer documents of a label
 #: in a part of the sample than the second, the sample isn't parted.
 FLOOR, FEW = 0.1, 40
-_TOKENS, _WORDS = 2_000_000, 400_000
+_TOKENS, _WORDS = 800_000, 300_000
 
 
 def features(word: str) -> list[int]:
@@ -85,11 +85,14 @@ def marginals(r: np.ndarray, lengths: np.ndarray, moves: np.ndarray, full: bool
         first = np.isin(starts, begins[lengths > 0])
         last = np.append(first[1:], True)
         enter, leave = np.ones(len(starts)), np.ones(len(starts))
-        go, come = _composed(r, starts, sizes, first, last, ahead, back)
-        for k in np.flatnonzero(~first).tolist():
-            enter[k] = _fraction(ahead, _fraction(go[k - 1], enter[k - 1]))
-        for k in np.flatnonzero(~last)[::-1].tolist():
-            leave[k] = _fraction(come[k + 1], leave[k + 1])
+        some = np.flatnonzero(~(first & last))  # the parts of long documents
+        go, come = _composed(r, starts[some], sizes[some], ahead, back)
+        for i, k in enumerate(some.tolist()):
+            if not first[k]:
+                enter[k] = _fraction(ahead, _fraction(go[i - 1], enter[k - 1]))
+        for i, k in reversed(list(enumerate(some.tolist()))):
+            if not last[k]:
+                leave[k] = _fraction(come[i + 1], leave[k + 1])
         forward, backward = _run(r, starts, sizes, ahead, back, enter, leave)
     p = forward * backward
     p /= 1 + p
@@ -133,7 +136,7 @@ def _run(r: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ahead: np.ndarray
     return forward, backward
 
 
-def _composed(r: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.ndarray, ahead: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _composed(r: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ahead: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each chain the fraction that makes its last forward odds of what enters it, and the one that makes what it sends
     back to the word before it of what its last word gets. Each step multiplies from one side and is scaled to 1."""
     order, running = _steps(sizes)
@@ -402,17 +405,20 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = b.column(1)
+            texts = b.column(b.num_columns - 1)
             lengths = np.cumsum([len(t.as_py() or "") for t in texts])
             group = lengths // (5 * _TOKENS)
             keep = []
             for g in np.unique(group):
                 score, _ = tagger.score([texts[int(i)].as_py() for i in np.flatnonzero(group == g)])
                 keep.append(score < threshold)
-            yield b.select([0]).filter(pa.array(np.concatenate(keep)))
+            yield b.select(range(b.num_columns - 1)).filter(pa.array(np.concatenate(keep)))
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return docs.select(row, F.col(text_col).cast("string").alias("text")).mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
+    # The columns go by number meanwhile: Arrow functions take no names with dots.
+    cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    kept = docs.select(*cols, F.col(text_col).cast("string").alias("text"))
+    schema = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema.fields)])
+    return kept.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
