@@ -29,7 +29,7 @@ END = 2
 #: A shard is closed beyond this many bytes; it bounds what a reader holds.
 SHARD_BYTES = 32 << 20
 #: Texts are encoded in groups of about so many characters, and so many distinct pieces are remembered.
-GROUP_CHARS, WORDS = 1 << 21, 400_000
+GROUP_CHARS, WORDS = 1 << 20, 150_000
 _MASK = 0xA282EAD8
 _SPACE, _LETTER, _MARK, _TAIL, _OTHER = 1, 2, 3, 4, 0
 
@@ -320,6 +320,8 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     doc_id = next(ids).as_py()
                     out.add(struct.pack("<qBB", doc_id or 0, doc_id is None, width) + data + last, len(data) // width + 1)
         out.close()
+        enc.old = {}  # an idle worker holds one generation
+        pa.default_memory_pool().release_unused()
         if out.done:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out.done), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "seq", "shard", "n_docs", "n_tokens", "bytes"])
 

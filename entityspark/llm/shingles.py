@@ -12,7 +12,7 @@ from .common import WORD
 N = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Word hashes that a worker remembers.
-WORDS = 250_000
+WORDS = 150_000
 
 
 class _Words(dict):

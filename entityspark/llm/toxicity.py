@@ -37,7 +37,7 @@ RATIO = 10.0
 #: Parameters of fit: chances below the first count as 0 in a document's sum and mean, and with fewer documents of a label
 #: in a part of the sample than the second, the sample isn't parted.
 FLOOR, FEW = 0.1, 40
-_TOKENS, _WORDS = 800_000, 300_000
+_TOKENS, _WORDS = 400_000, 200_000
 
 
 def features(word: str) -> list[int]:
@@ -413,6 +413,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 score, _ = tagger.score([texts[int(i)].as_py() for i in np.flatnonzero(group == g)])
                 keep.append(score < threshold)
             yield b.select(range(b.num_columns - 1)).filter(pa.array(np.concatenate(keep)))
+        pa.default_memory_pool().release_unused()
 
     # The columns go by number meanwhile: Arrow functions take no names with dots.
     cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
